@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "webquarry") -> SparkSession:
@@ -36,3 +38,43 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         context._webquarry_shipped = True
     return spark
+
+
+_tables: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; where unset, a new one of our own (local sessions)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if have.isDefined():
+            folder = have.get()
+        else:
+            folder = "file://" + tempfile.mkdtemp(prefix="webquarry-")
+            spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, reread: computed once, cuts the lineage, survives lost executors.
+
+    The tables go when the driver's Python ends, as a result that is not yet read may need them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/webquarry/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(_remove, spark)
+    _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        jvm = spark._jvm
+        for path in _tables:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended before: its folder is the cluster's to clean
+        pass
