@@ -52,9 +52,9 @@ def slot_pages(evidence: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(t) for t in K.CLEANING_ORDER]), kind).cast("int")
     known = evidence.withColumn("place", place).filter("place > 0")
     # only keys meet to find the first of each slot: the evidence itself is not sorted
-    firsts = known.filter(kind != "team_profile").groupBy("site", kind.alias("__type")).agg(F.min("ord").alias("__first"))
-    held = known.join(firsts, (known["site"] == firsts["site"]) & (kind == F.col("__type")), "left").drop(firsts["site"])
-    return held.filter((kind == "team_profile") | (F.col("ord") == F.col("__first"))).drop("__type", "__first")
+    firsts = known.filter(kind != "team_profile").groupBy(F.col("site").alias("__site"), kind.alias("__type")).agg(F.min("ord").alias("__first"))
+    held = known.join(firsts, (F.col("site") == F.col("__site")) & (kind == F.col("__type")), "left")
+    return held.filter((kind == "team_profile") | (F.col("ord") == F.col("__first"))).drop("__site", "__type", "__first")
 
 
 def _candidates(e: Column) -> dict[str, Column]:
