@@ -58,10 +58,13 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def exact_products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products; in Python integers where doubles could round."""
-    top = float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q))
+def exact_products(rows: np.ndarray, q: np.ndarray, largest: float) -> np.ndarray:
+    """Integer inner products; in Python integers where doubles could round. ``largest``: of the rows' components."""
+    top = largest * float(np.abs(q).max(initial=0)) * max(1, len(q))
+    if top < 2**24:
+        return (rows @ q.astype(rows.dtype)).astype(np.int64)
     if top < 2**52:
+        rows = rows.astype(np.float64, copy=False)
         return (rows @ q).astype(np.int64)
     whole = [int(x) for x in q]
     return np.array([sum(int(a) * b for a, b in zip(r, whole)) for r in rows], dtype=object)
@@ -78,29 +81,42 @@ class Block:
         self.rows, at = np.unique(rows, axis=0, return_inverse=True) if len(ids) else (rows, np.zeros(0, int))
         order = np.argsort(at, kind="stable")
         self.ids = [x[: k + 1] for x in np.split(ids[order], np.cumsum(np.bincount(at, minlength=len(self.rows)))[:-1])] if len(ids) else []
-        self.table = _distances(self.rows, pivots)
+        # a column for each pivot: a bound is one pass over some columns
+        self.table = np.ascontiguousarray(_distances(self.rows, pivots).T, dtype=np.float32)
+        self.far = float((pivots * pivots).sum(1).max(initial=0))
         self.square = (self.rows * self.rows).sum(1)
+        self.largest = float(np.abs(self.rows).max(initial=0))
+        if self.largest**2 * max(1, self.rows.shape[1]) < 2**24:
+            self.rows = self.rows.astype(np.float32)  # products stay exact, and half as much is read
         self.k = k
 
     def top(self, query: int, q: np.ndarray, to_pivots: np.ndarray, floor: float) -> tuple[list[tuple], int]:
         """The k best (score, id) but the query's own, none below ``floor``; and how many rows were evaluated."""
         k, square = self.k, float((q * q).sum())
-        low = np.abs(self.table - to_pivots).max(axis=1) if self.table.shape[1] else np.zeros(len(self.rows))
-        # rounding of the distances: a few units in the last place of the squares
-        bound = (square + self.square - low * low) / 2 + 1e-7 * (square + self.square + 1)
+        low, apart = np.zeros(len(self.rows), np.float32), np.empty(len(self.rows), np.float32)
+        for column, d in zip(self.table, to_pivots.astype(np.float32)):
+            np.maximum(low, np.abs(np.subtract(column, d, out=apart), out=apart), out=low)
+        # rounding: some units in the last place of the squared distances, in single precision
+        bound = (square + self.square - low.astype(np.float64) ** 2) / 2 + 1e-5 * (square + self.square + self.far + 1)
         left = np.flatnonzero(bound >= floor)
-        left = left[np.argsort(-bound[left], kind="stable")]
         best: list[tuple] = []
-        done, step = 0, 4 * k
-        while done < len(left) and not (len(best) >= k and bound[left[done]] < best[k - 1][0]):
-            some = left[done : done + step]
-            scores = exact_products(self.rows[some], q)
+        done, step = 0, 32 * k
+        while len(left) and not (len(best) >= k and bound[left].max() < best[k - 1][0]):
+            if step < len(left) // 2:  # the highest bounds of those left
+                order = np.argpartition(-bound[left], step)
+                some, left = left[order[:step]], left[order[step:]]
+                scores = exact_products(self.rows[some], q, self.largest)
+            else:
+                some, left = left, left[:0]
+                scores = exact_products(self.rows, q, self.largest)[some] if len(some) > len(self.rows) // 4 else exact_products(self.rows[some], q, self.largest)
+            done, step = done + len(some), 4 * step
             least = best[k - 1][0] if len(best) >= k else floor
+            if len(some) > 4 * k:  # none below the k-th score of these alone can rank
+                least = max(least, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
             for i in np.flatnonzero(scores >= least):
                 best += [(int(scores[i]), int(x)) for x in self.ids[some[i]] if x != query]
             best.sort(key=lambda b: (-b[0], b[1]))
             del best[k:]
-            done, step = done + len(some), min(2 * step, 2048)
         return best, done
 
 
@@ -110,12 +126,12 @@ def _search(pivots: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: i
         width = max(widths)
         wide = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])))
         p, known = wide(pivots), wide(sample)
-        block = Block(rows["id"].to_numpy(np.int64), _matrix(rows["v"], width), p, k)
         queries = queries.drop_duplicates("id")
         ids, q = queries["id"].to_numpy(np.int64), _matrix(queries["v"], width)
-        to_pivots, out = _distances(q, p), []
+        to_pivots, largest, out = _distances(q, p), float(np.abs(known).max(initial=0)), []
+        block = Block(rows["id"].to_numpy(np.int64), _matrix(rows["v"], width), p, k)
         for i, x in enumerate(ids):
-            others = exact_products(known, q[i])[sample_ids != x]
+            others = exact_products(known, q[i], largest)[sample_ids != x]
             # the sample's rows are candidates too: the k-th best of them is a floor
             floor = float(np.partition(others.astype(float), len(others) - k)[len(others) - k]) if len(others) >= k else -np.inf
             floor -= abs(floor) * 1e-12
