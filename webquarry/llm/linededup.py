@@ -159,7 +159,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     all of whose lines go becomes empty. An empty table gives no rows.
     """
     gone = C.written(duplicated_lines(docs, min_words), "gone").withColumnRenamed("later", "__later").withColumnRenamed("gone", "__gone")
-    rows = docs.join(gone, docs["doc_id"].cast("long") == F.col("__later"), "left")
+    # merged at every size: a broadcast that ends with the input's growth would hide what the texts' way costs
+    rows = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__later"), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
     lost = F.filter(lines, lambda x, i: F.array_contains(F.col("__gone"), i.cast("int")))
