@@ -42,7 +42,7 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions (in a, in b) of equal lines, increasing in both."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -65,7 +65,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             common = [x for x in nb if x in na]
             if not common:
                 continue
-            x = min(common, key=lambda x: (na[x] + nb[x], x))
+            x = min(common, key=lambda x: (na[x] + nb[x], b.index(x, blo, bhi)))
             chain = [(a.index(x, alo, ahi), b.index(x, blo, bhi))]
         before = (alo - 1, blo - 1)
         for i, j in [*chain, (ahi, bhi)]:
@@ -76,48 +76,71 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks, consecutive in both, of at least ``min_words`` words."""
-    out: list[int] = []
+def _blocks(pairs: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Runs of positions in ``b`` that are consecutive in both."""
     run: list[int] = []
-    before = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if (i, j) != (before[0] + 1, before[1] + 1):
-            if sum(words[x] for x in run) >= min_words:
-                out += run
+    before = (-9, -9)
+    for i, j in pairs:
+        if run and (i, j) != (before[0] + 1, before[1] + 1):
+            yield run
             run = []
         run.append(j)
         before = (i, j)
-    return out
+    if run:
+        yield run
+
+
+def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Positions in ``b`` of aligned blocks, consecutive in both, of at least ``min_words`` words.
+
+    An alignment keeps the order of lines, so what stands in another order in both needs one
+    more: lines that are aligned are set aside and the rest is aligned again, until nothing is.
+    """
+    out: list[int] = []
+    rest: list[int | None] = list(b)
+    known = set(a)
+    while any(x in known for x in rest):
+        pairs = patience(a, [("gone", i) if x is None else x for i, x in enumerate(rest)])
+        if not pairs:
+            break
+        for run in _blocks(pairs):
+            if sum(words[j] for j in run) >= min_words:
+                out += run
+        for _, j in pairs:
+            rest[j] = None
+    return sorted(out)
 
 
 def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
-            ids, gone = [], []
-            for later, a, b, words, places in zip(*(batch.column(n).to_pylist() for n in ("later", "a", "b", "words", "places"))):
+            ids, marks, gone = [], [], []
+            for later, mark, a, b, words, places in zip(*(batch.column(n).to_pylist() for n in ("later", "mark", "a", "b", "words", "places"))):
                 if found := common_blocks(a, b, words, min_words):
                     ids.append(later)
+                    marks.append(mark)
                     gone.append([places[j] for j in found])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["later", "mark", "gone"]
+                )
 
     return run
 
 
 def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (later, gone): documents that lose lines, and the places of these lines (from 0), sorted."""
+    """Rows (later, mark, gone): documents that lose lines, a hash of their text, and the places of these lines (from 0), sorted."""
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     listed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"),
         F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("place"), F.xxhash64(F.trim(x)).alias("line"), C.word_count(x).cast("int").alias("words"))).alias("l"),
     )
     # lines without words are not aligned
-    listed = listed.select("doc_id", F.filter("l", lambda x: x["words"] > 0).alias("l")).select(
-        "doc_id", F.col("l.line").alias("lines"), F.col("l.words").alias("words"), F.col("l.place").alias("places")
+    listed = listed.select("doc_id", "mark", F.filter("l", lambda x: x["words"] > 0).alias("l")).select(
+        "doc_id", "mark", F.col("l.line").alias("lines"), F.col("l.words").alias("words"), F.col("l.place").alias("places")
     )
     # rows that repeat an id: the one with the smallest lines stands for it
-    listed = listed.groupBy("doc_id").agg(F.min(F.struct("lines", "words", "places")).alias("l")).select("doc_id", "l.*")
+    listed = listed.groupBy("doc_id").agg(F.min(F.struct("lines", "words", "places", "mark")).alias("l")).select("doc_id", "l.*")
     listed = C.written(listed, "lines")
     each = listed.select("doc_id", F.posexplode("lines").alias("at", "line"))
     holders = each.groupBy("line").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).filter("holder < last")
@@ -144,41 +167,52 @@ def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     pairs = marked.select(F.col("doc_id").alias("later"), F.explode(first).alias("earlier"))
     old = listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("a"))
-    new = listed.select(F.col("doc_id").alias("later"), F.col("lines").alias("b"), "words", "places")
-    aligned = pairs.join(old, "earlier").join(new, "later").select("later", "a", "b", "words", "places")
-    found = aligned.mapInArrow(_align(min_words), "later long, gone array<int>")
-    return found.groupBy("later").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    new = listed.select(F.col("doc_id").alias("later"), F.col("lines").alias("b"), "words", "places", "mark")
+    aligned = pairs.join(old, "earlier").join(new, "later").select("later", "mark", "a", "b", "words", "places")
+    found = aligned.mapInArrow(_align(min_words), "later long, mark long, gone array<int>")
+    return found.groupBy("later", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs``, ``text`` without its duplicated blocks, and removed_lines, removed_words, line_count.
-
-    Earlier means a smaller doc_id; lines are what lies between newlines, compared without
-    the blanks around them. Rows without id or text stay as they are; rows that repeat an id
-    lose the same lines, if their texts agree with the row that stands for the id. A text
-    all of whose lines go becomes empty. An empty table gives no rows.
-    """
-    gone = C.written(duplicated_lines(docs, min_words), "gone").withColumnRenamed("later", "__later").withColumnRenamed("gone", "__gone")
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` beside __text, __removed, __words and __count."""
+    gone = C.written(duplicated_lines(docs, min_words), "gone").select(F.col("later").alias("__later"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
     # merged at every size: a broadcast that ends with the input's growth would hide what the texts' way costs
-    rows = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__later"), "left")
+    same = (docs["doc_id"].cast("long") == F.col("__later")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark"))
+    rows = docs.join(gone.hint("merge"), same, "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
     lost = F.filter(lines, lambda x, i: F.array_contains(F.col("__gone"), i.cast("int")))
     hit = F.col("__gone").isNotNull() & F.col("text").isNotNull()
-    keep = F.concat_ws("\n", F.filter(left, lambda x: F.lit(True)))
+    keep = F.array_join(left, "\n")
     out = {
         "__text": F.when(hit, F.when(F.forall(left, lambda x: C.word_count(x) == 0), F.lit("")).otherwise(keep)).otherwise(F.col("text")),
         "__removed": F.when(hit, F.size(lost)).otherwise(0).cast("long"),
         "__words": F.when(hit, F.aggregate(lost, F.lit(0).cast("long"), lambda s, x: s + C.word_count(x))).otherwise(F.lit(0).cast("long")),
         "__count": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
     }
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for n, c in out.items()])
-    own = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*own, F.col("__removed").alias("removed_lines"), F.col("__words").alias("removed_words"), F.col("__count").alias("line_count"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for n, c in out.items()])
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (doc_id, text, line_count, removed_lines, removed_words), one for each row of ``docs``; ``text`` is without its duplicated blocks.
+
+    Earlier means a smaller doc_id; lines are what lies between newlines, compared without
+    the blanks around them. Rows without id or text stay as they are. Rows that repeat an id
+    count with the text of the one of them whose lines are smallest; those with another text
+    stay as they are. A text of which no words are left becomes empty. Other columns are not read. An
+    empty table gives no rows.
+    """
+    rows = _cleaned(docs.select("doc_id", "text"), min_words)
+    return rows.select(
+        "doc_id", F.col("__text").alias("text"), F.col("__count").alias("line_count"), F.col("__removed").alias("removed_lines"), F.col("__words").alias("removed_words")
+    )
 
 
 def without_duplicate_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with cleaned texts (and ``n_chars`` to match); documents of which nothing is left go."""
-    cleaned = line_dedup(docs, min_words).filter("NOT (removed_lines > 0 AND text = '')")
-    size = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return cleaned.select(*[size.cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    cleaned = _cleaned(docs, min_words).filter("NOT (__removed > 0 AND __text = '')")
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("__removed") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
