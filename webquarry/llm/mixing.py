@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK_DOCS = 20_000
+BLOCK_DOCS = 2_000
 #: Open documents that meet in a node of the reduction tree.
 FAN_IN = 64
 #: Fractions this near to 0 or 1 are settled.
