@@ -144,6 +144,7 @@ def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     listed = C.written(listed, "lines")
     each = listed.select("doc_id", F.posexplode("lines").alias("at", "line"))
     holders = each.groupBy("line").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).filter("holder < last")
+    holders = C.written(holders, "holders")  # a line that many documents have: Spark can split its side of the join, as the other is a table
     held = each.join(holders, "line").filter("holder < doc_id").groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("at", "holder"))).alias("held")
     )
