@@ -59,3 +59,16 @@ def test_whole_table(spark, documents):
     assert any(r.doc_id is None and linked in r.text for r in got)
     assert any(r.text.endswith(linked) for r in got if r.doc_id == 103)
     assert P.feistel_pseudonyms(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("before,value,after", [
+    ('token = "', "b44e15e0c9d27f6a31b8", '"'), ("password = '", "s3cretValue", "'"), ('api_key: "', "Zx81kk20Qp", '"'), ('TOKEN = "', "B44E15E0C9D27F6A31B8", '"'), ("API_KEY='", "ABCDEF123456", "';"),
+    ('{"password": "', "b7db7aa4a5", '"}'), ('Secret="', "it's;a,<b>9", '" next'), ('token = "', "open7quote", " no end"),
+])
+def test_quoted_secrets(before, value, after):
+    text = before + value + after
+    new, spans = P.pseudonymise(text)
+    assert [k for _, _, k in spans] == ["secret"] and value not in new and new.startswith(before) and new.endswith(after) and len(new) == len(text)
+    secret = new[spans[0][0] : spans[0][1]]
+    assert P.pseudonym("secret", secret, back=True) == text[spans[0][0] : spans[0][1]]
+    assert new[len(before) : len(before) + len(value)] == P.pseudonym("secret", "token=" + value)[6:]  # quotes do not part equal values

@@ -25,10 +25,13 @@ from . import common as C
 KEY = b"webquarry pseudonyms"
 ROUNDS = 8
 
+#: What names a secret, up to its value: the quotes around the name and before the value are part of it.
+_NAMED = r"(?i:(?:password|passwd|secret|api_key|apikey|token)[\"']?\s?[=:]\s?)"
+
 #: Kinds in the order of their precedence where they begin at the same place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk[-_][A-Za-z0-9_-]{16,}|(?i:(?:password|passwd|secret|api_key|apikey|token)\s?[=:]\s?)[^\s\"'<>,;]{6,}",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk[-_][A-Za-z0-9_-]{16,}|" + _NAMED + r"(?:\"[^\s\"]{6,}(?=\")|'[^\s']{6,}(?=')|[\"']?[^\s\"'<>,;]{6,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
@@ -177,7 +180,7 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
         return f"{permute_format(local, key, 'local', back)}@{permute_format(host, key, 'host', back)}.{top}"
-    mark = re.match(r"(?i:(?:password|passwd|secret|api_key|apikey|token)\s?[=:]\s?)|AKIA|ASIA|gh[pousr]_|sk[-_]", value)
+    mark = re.match(_NAMED + r"[\"']?|AKIA|ASIA|gh[pousr]_|sk[-_]", value)
     return mark[0] + permute_format(value[mark.end() :], key, "secret", back)
 
 
