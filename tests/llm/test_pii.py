@@ -72,3 +72,20 @@ def test_quoted_secrets(before, value, after):
     secret = new[spans[0][0] : spans[0][1]]
     assert P.pseudonym("secret", secret, back=True) == text[spans[0][0] : spans[0][1]]
     assert new[len(before) : len(before) + len(value)] == P.pseudonym("secret", "token=" + value)[6:]  # quotes do not part equal values
+
+
+@pytest.mark.parametrize("before,value,after,kind", [
+    ("", "4111 1111 1111 1111", " 12/27", "card"), ("", "4111 1111 1111 1111", " 123", "card"), ("", "4539 1488 0343 6467", " 08/26", "card"), ("", "4111111111111111", " 12/27 123", "card"),
+    ("", "4929-3813-3266-4295", "-123", "card"), ("no 12 ", "4111 1111 1111 1111", "", "card"), ("", "ES9121000418450200051332", " BIC CAIXESBB", "iban"),
+    ("", "AT611904300234573201", " BIC", "iban"), ("", "AT611904300234573201", " BANK AUSTRIA", "iban"), ("", "BE68 5390 0754 7034", " EUR", "iban"),
+    ("", "DE89 3704 0044 0532 0130 00", " EUR", "iban"), ("tel ", "+44 20 7946 0958", " 2024 1234", "phone"),
+])
+def test_values_before_more_groups(before, value, after, kind):
+    text = before + value + after
+    assert [(text[a:b], k) for a, b, k in P.find(text) if k != "date"] == [(value, kind)]
+
+
+def test_digits_before_a_card_do_not_hide_its_end():
+    for n in range(10, 100):  # some make up a shorter card with the beginning of the card, some a longer one
+        text = f"no {n} 4111 1111 1111 1111 end"
+        assert [text[a:b].endswith("4111 1111 1111 1111") for a, b, _ in P.find(text)] == [True]

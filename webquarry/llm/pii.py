@@ -40,6 +40,9 @@ PATTERNS = {
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 KINDS = tuple(PATTERNS)
+#: Kinds written in groups: a match of them may have taken in groups of what follows.
+GROUPED = ("iban", "phone", "card")
+_EACH = {k: re.compile(p) for k, p in PATTERNS.items()}
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _GATE = re.compile(r"[0-9@]|(?i:password|passwd|secret|api_key|apikey|token)|\bsk[-_]|\bgh[pousr]_|AKIA|ASIA")
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
@@ -184,25 +187,46 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
     return mark[0] + permute_format(value[mark.end() :], key, "secret", back)
 
 
+def _longest(kind: str, text: str, start: int) -> int:
+    """End of the longest valid value of a kind that begins at ``start`` and ends with one of its groups; 0 if there is none."""
+    m = _EACH[kind].match(text, start)
+    if not m or valid(kind, m[0]):
+        return m.end() if m else 0
+    for end in range(m.end() - 1, start, -1) if kind in GROUPED else ():
+        if not text[end].isalnum() and (m := _EACH[kind].fullmatch(text, start, end)) and valid(kind, m[0]):
+            return end
+    return 0
+
+
+def _longer_card(text: str, start: int, end: int) -> tuple[int, int]:
+    """The longest card that begins with a group of [start, end): digits before a card may make up a shorter one with its beginning."""
+    size = lambda s, e: sum(c.isdigit() for c in text[s:e])
+    spans = [(s, _longest("card", text, s)) for s in range(start + 1, end) if text[s].isdigit() and not text[s - 1].isdigit()]
+    return max([(start, end), *spans], key=lambda x: (size(*x), -x[0]))
+
+
 def find(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of the valid values of a whole text, left to right, none overlapping.
 
-    A match that is not valid is searched again from its second character on, so that it hides nothing.
+    A match that is not valid is searched for shorter ones that end with a group, then for other
+    kinds at its place, then again from its second character on, so that it hides nothing.
     """
     at = 0
     while m := _FIND.search(text, at):
+        start = m.start()
         if valid(m.lastgroup, m[0]):
-            yield m.start(), m.end(), m.lastgroup
+            yield start, m.end(), m.lastgroup
             at = m.end()
             continue
-        for kind in KINDS[KINDS.index(m.lastgroup) + 1 :]:  # another kind at the same place
-            other = re.compile(PATTERNS[kind]).match(text, m.start())
-            if other and valid(kind, other[0]):
-                yield other.start(), other.end(), kind
-                at = other.end()
+        for kind in KINDS[KINDS.index(m.lastgroup) :]:
+            if end := _longest(kind, text, start):
+                if kind == "card":
+                    start, end = _longer_card(text, start, end)
+                yield start, end, kind
+                at = end
                 break
         else:
-            at = m.start() + 1
+            at = start + 1
 
 
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
