@@ -60,3 +60,64 @@ def test_hundreds_of_rules_each_gated():
 def test_empty(spark, documents):
     assert L.license_scan(documents([])).count() == 0
     assert L.license_scan(documents([(None, "under the mit license", None)])).first().n_base == 1
+
+
+def texts_of(pattern):
+    """One text for each branch of an expression; repeats as few times as they may be, and once more."""
+    from re import _parser
+
+    def one(op, arg):
+        if op is _parser.LITERAL:
+            return [chr(arg)]
+        if op in (_parser.ANY, _parser.NOT_LITERAL):
+            return ["x"]
+        if op is _parser.IN:
+            return [chr(a if o is _parser.LITERAL else a[0]) for o, a in arg]
+        if op is _parser.BRANCH:
+            return [t for branch in arg[1] for t in every(branch)]
+        if op is _parser.SUBPATTERN:
+            return every(arg[-1])
+        if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            low, high, body = arg
+            return [t for n in sorted({low, min(low + 1, high)}) for t in every(list(body) * n)]
+        assert op is _parser.ASSERT_NOT
+        return [""]
+
+    def every(items):
+        out = [""]
+        for op, arg in items:
+            out = [a + b for a in out for b in one(op, arg)]
+        return out
+
+    return every(_parser.parse(pattern))
+
+
+def test_gates_open_for_every_branch():
+    scanner, shut = L.Scanner(), []
+    names = [(label, t, form % f"(?:{name})", form, name) for label, _, name in L.NAMES for t, _, form, _ in L.TEMPLATES]
+    texts = {(label, t, pattern): [texts_of(form % x)[0] for x in texts_of(name)] for label, t, pattern, form, name in names}
+    texts |= {(label, "sentence", pattern): texts_of(pattern) for label, _, _, pattern, _ in L.SENTENCES}
+    texts |= {(label, "base", phrase): [phrase] for phrase, label in L.BASE}
+    finds = {}
+    for r in scanner.rules:
+        finds.setdefault((r.label, r.name), []).append(r)
+    for (label, name, pattern), some in texts.items():
+        for text in some:
+            line = f" {text} ".encode()
+            off = [r for r in finds[label, name] if any(r.find(line))]
+            assert off, (label, name, text)
+            opened = scanner.opened(line.split())
+            shut += [(r.label, r.name, text) for r in off if r not in opened]
+    assert not shut, shut[:20]
+
+
+@pytest.mark.parametrize("text,label", [
+    ("subject to the terms of the Common Development and Distribution License", "cddl-1"), ("Server Side Public License, version 1, as published by MongoDB", "sspl-1"),
+    ("Licensed under the Open Database License", "odbl"), ("Licensed under Creative Commons Attribution-Non-Commercial 4.0", "cc-by-nc"),
+    ("Licensed under Creative Commons Attribution-Non-Commercial-Share-Alike 4.0", "cc-by-nc-sa"), ("Creative Commons Attribution-No-Derivs 3.0 license", "cc-by-nd"),
+    ("released under Apache2", "apache-2"), ("released under LGPL3", "lgpl-3"), ("License: AGPL3", "agpl-3"), ("License: MPL2", "mpl-2"), ("under the terms of the European Union Public Licence 1.2", "eupl-1.2"),
+    ("licensed under the Universal Permissive License", "upl-1"), ("the Open Software License 3.0 license", "osl-3"), ("licensed under the Community Data License Agreement - Sharing", "cdla-sharing"),
+    ("licensed under the Open Data Commons Attribution License", "odc-by"), ("released under the Open Data Commons Public Domain Dedication", "pddl"), ("released under FreeBSD license", "bsd-2-clause"),
+])
+def test_names_spelled_out_or_glued(text, label):
+    assert label in {m[3] for m in L.Scanner().scan(text.encode())[1]}
