@@ -92,3 +92,31 @@ def test_edges(spark, documents):
     assert 6 not in ids and ids.count(5) == 2 and None in ids
     assert all(r.n_chars == len(r.text or "") for r in kept.collect())
     assert L.line_dedup(documents([])).count() == 0
+
+
+def test_windows_cover_every_block():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 12)
+        lines, words = rng.sample(range(1000), n), [rng.choice((1, 2, 9, 15, 29, 31, 60)) for _ in range(n)]
+        shared = [rng.random() < 0.85 for _ in range(n)]
+        got = {h for h, _ in L.windows(lines, words, shared, 30)}
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                if all(shared[i:j]) and sum(words[i:j]) >= 30:  # each line of a block lies in a window within the block
+                    inside = [(a, b) for a in range(i, j) for b in range(a + 1, j + 1) if hash(tuple(lines[a:b])) in got]
+                    assert set(range(i, j)) == {x for a, b in inside for x in range(a, b)}
+                    assert all(sum(words[a:b]) >= 30 for a, b in inside)
+
+
+def test_blocks_whose_lines_stood_alone_before(spark, documents):
+    l1, l2, l3 = (passage(920 + i, 20) for i in range(3))
+    rows = [(1, l1), (2, l2), (3, "\n".join([passage(70, 12), l3])), (5, "\n".join([l1, l2, l3, passage(71, 9)])), (9, "\n".join([passage(72, 9), l1, l2, l3]))]
+    rng = random.Random(5)
+    pool = [passage(930 + i, rng.choice((7, 12, 20))) for i in range(12)]
+    for n in range(60):  # frequent lines, which blocks share in part
+        some = [pool[(at := rng.randrange(12)) : at + rng.randrange(1, 6)] for _ in range(2)]
+        rows.append((20 + n, "\n".join([*some[0], passage(100 + n, 11), *some[1]])))
+    got = {r.doc_id: r for r in L.line_dedup(documents([(i, t, "s") for i, t in rows])).collect()}
+    assert got[9].text == passage(72, 9) and got[9].removed_words == 60 and got[5].removed_lines == 0
+    assert {i: got[i].removed_lines for i, _ in rows} == {i: len(gone) for i, gone in brute(rows, 30).items()}

@@ -1,9 +1,12 @@
 """Line dedup by pairwise alignment.
 
 Every line gets a hash. Lines that an earlier document has too point to the first document
-that has them; runs of such lines long enough to be a passage make (later, first holder)
-pairs, found through their rarest lines, so pairs stay linear in the lines and no group of
-copies is paired within itself. Each pair is aligned by patience diff over whole documents:
+that has them, and so do windows: consecutive lines, as few as have ``min_words`` words from
+a line on or up to a line. Runs of shared lines long enough to be a passage make (later,
+first holder) pairs, by their lines and by their windows. A block that an earlier document
+has is covered by windows, each of which some first holder has whole, even where each of its
+lines alone stood still earlier. Pairs stay linear in the lines and no group of copies is
+paired within itself. Each pair is aligned by patience diff over whole documents:
 lines that both have exactly once anchor the longest increasing chain, and the gaps
 between anchors are aligned the same way. Aligned blocks of at least ``min_words`` words
 are deleted from the later document, whoever holds them first keeps them.
@@ -90,11 +93,33 @@ def _blocks(pairs: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield run
 
 
+def windows(lines: list[int], words: list[int], shared: list[bool], min_words: int) -> Iterator[tuple[int, list[int]]]:
+    """(hash, positions) of the shortest windows of shared lines with at least ``min_words`` words, up to each line and from each line on."""
+    run: list[int] = []
+    for j in range(len(lines) + 1):
+        if j < len(lines) and shared[j]:
+            run.append(j)
+            continue
+        for step in (1, -1):
+            lo = size = 0
+            order = run[::step]
+            for n, i in enumerate(order):
+                size += words[i]
+                while size - words[order[lo]] >= min_words:
+                    size -= words[order[lo]]
+                    lo += 1
+                if size >= min_words:
+                    some = order[lo : n + 1][::step]
+                    yield hash(tuple([lines[k] for k in some])), some
+        run = []
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
     """Positions in ``b`` of aligned blocks, consecutive in both, of at least ``min_words`` words.
 
     An alignment keeps the order of lines, so what stands in another order in both needs one
     more: lines that are aligned are set aside and the rest is aligned again, until nothing is.
+    Where lines repeat, an alignment may part a block; windows that both have settle these.
     """
     out: list[int] = []
     rest: list[int | None] = list(b)
@@ -108,7 +133,25 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
                 out += run
         for _, j in pairs:
             rest[j] = None
-    return sorted(out)
+    size = dict(zip(b, words))
+    both = {h for h, _ in windows(a, [size.get(x, 0) for x in a], [x in size for x in a], min_words)}
+    for h, some in windows(b, words, [x in known for x in b], min_words):
+        if h in both:
+            out += some
+    return sorted(set(out))
+
+
+def _windows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            ids, hashes = [], []
+            for doc_id, lines, words, shared in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "lines", "words", "shared"))):
+                found = {h for h, _ in windows(lines, words, shared, min_words)}
+                ids += [doc_id] * len(found)
+                hashes += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "window"])
+
+    return run
 
 
 def _align(min_words: int):
@@ -145,13 +188,21 @@ def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = listed.select("doc_id", F.posexplode("lines").alias("at", "line"))
     holders = each.groupBy("line").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).filter("holder < last")
     holders = C.written(holders, "holders")  # a line that many documents have: Spark can split its side of the join, as the other is a table
-    held = each.join(holders, "line").filter("holder < doc_id").groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("at", "holder"))).alias("held")
-    )
-    # runs of lines that earlier documents have: a passage cannot be longer than its run
+    held = each.join(holders, "line").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "holder"))).alias("held"))
+    # runs of lines that other documents have too: a passage cannot be longer than its run
     marked = held.join(listed, "doc_id").select(
-        "doc_id", F.transform(F.arrays_zip("words", "places"), lambda x, i: F.struct(x["words"].alias("words"), F.col("held")[i].alias("holder"))).alias("m")
+        "doc_id", "lines", "words", F.transform("lines", lambda x, i: F.col("held")[i].isNotNull()).alias("shared"),
+        F.transform(
+            F.arrays_zip("words", "places"),
+            lambda x, i: F.struct(x["words"].alias("words"), F.when(F.col("held")[i] < F.col("doc_id"), F.col("held")[i]).alias("holder")),
+        ).alias("m"),
     )
+    marked = C.written(marked, "marked")
+    shown = marked.select("doc_id", "lines", "words", "shared").mapInArrow(_windows(min_words), "doc_id long, window long")
+    shown = C.written(shown, "windows")
+    firsts = shown.groupBy("window").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).filter("earlier < last")
+    firsts = C.written(firsts.select("window", "earlier"), "firsts")  # as with lines
+    by_window = shown.join(firsts, "window").filter("earlier < doc_id").select(F.col("doc_id").alias("later"), "earlier")
     first = F.aggregate(
         "m",
         F.struct(F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("run"), F.array().cast("array<bigint>").alias("out")),
@@ -166,7 +217,8 @@ def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         lambda s: F.when(s["n"] >= min_words, F.array_union(s["out"], s["run"])).otherwise(s["out"]),
     )
-    pairs = marked.select(F.col("doc_id").alias("later"), F.explode(first).alias("earlier"))
+    by_line = marked.select(F.col("doc_id").alias("later"), F.explode(first).alias("earlier"))
+    pairs = C.written(by_line.union(by_window).distinct(), "pairs")
     old = listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("a"))
     new = listed.select(F.col("doc_id").alias("later"), F.col("lines").alias("b"), "words", "places", "mark")
     aligned = pairs.join(old, "earlier").join(new, "later").select("later", "mark", "a", "b", "words", "places")
