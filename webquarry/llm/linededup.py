@@ -1,15 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Every line gets a hash. Lines that an earlier document has too point to the first document
-that has them, and so do windows: consecutive lines, as few as have ``min_words`` words from
-a line on or up to a line. Runs of shared lines long enough to be a passage make (later,
-first holder) pairs, by their lines and by their windows. A block that an earlier document
-has is covered by windows, each of which some first holder has whole, even where each of its
-lines alone stood still earlier. Pairs stay linear in the lines and no group of copies is
-paired within itself. Each pair is aligned by patience diff over whole documents:
-lines that both have exactly once anchor the longest increasing chain, and the gaps
-between anchors are aligned the same way. Aligned blocks of at least ``min_words`` words
-are deleted from the later document, whoever holds them first keeps them.
+Every line gets a hash and the number of documents that hold it. A line that at most
+``RARE`` documents hold is rare: a document pairs with each earlier holder of its rare lines.
+Where lines are common, windows of them decide: consecutive shared lines, as few as have
+``min_words`` words from a line on or up to a line. A window without a rare line pairs its
+document with the first document that holds the whole window. A block of ``min_words`` words
+that some earlier document has is covered by windows, so each of its lines has a partner
+that shows it: a true holder of the block through a rare line, a true holder of the window
+otherwise. Pairs stay linear in the lines and no group of copies is paired within itself.
+
+Each pair is aligned by patience diff over whole documents: lines that both have exactly once
+anchor the longest increasing chain, and the gaps between anchors are aligned the same way.
+Aligned blocks of at least ``min_words`` words are deleted from the later document, whoever
+holds them first keeps them. An alignment keeps the order of lines; blocks that moved or
+repeat are settled by the windows that both texts have.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +31,8 @@ from . import common as C
 
 #: Words that an aligned block has at least.
 MIN_WORDS = 30
+#: Documents that hold a rare line, at most: what min, max and xor of their ids tell apart.
+RARE = 3
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -37,7 +44,11 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         at = bisect_left(tails, b)
         if at:
             back[i] = ends[at - 1]
-        tails[at:], ends[at:] = ([b], [i]) if at == len(tails) else ([b, *tails[at + 1 :]], [i, *ends[at + 1 :]])
+        if at == len(tails):
+            tails.append(b)
+            ends.append(i)
+        else:
+            tails[at], ends[at] = b, i
     out, i = [], ends[-1] if ends else -1
     while i >= 0:
         out.append(pairs[i])
@@ -45,8 +56,38 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned positions (in a, in b) of equal lines, increasing in both."""
+def _anchors(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
+    """Positions (in b, in a) of the rarest lines that both gaps have, occurrence by occurrence."""
+    na, nb = Counter(a[alo:ahi]), Counter(b[blo:bhi])
+    times = {x: max(n, nb[x]) for x, n in na.items() if x in nb}
+    if not times:
+        return []
+    least = min(times.values())
+    rarest = {x for x, n in times.items() if n == least}
+    nth: Counter = Counter()
+    place = {}
+    for i in range(alo, ahi):
+        if (x := a[i]) in rarest:
+            place[x, nth[x]] = i
+            nth[x] += 1
+    nth.clear()
+    out = []
+    for j in range(blo, bhi):
+        if (x := b[j]) in rarest:
+            if (x, nth[x]) in place:
+                out.append((j, place[x, nth[x]]))
+            nth[x] += 1
+    return out
+
+
+def patience(a: list, b: list, words: list[int] | None = None, min_words: int = 0) -> list[tuple[int, int]]:
+    """Aligned positions (in a, in b) of equal lines, increasing in both.
+
+    Lines that stand once in both anchor; where there are none, the rarest common ones do,
+    the first with the first and so on. With ``words`` of b's lines, gaps of b that hold fewer
+    than ``min_words`` words are left: no block fits into them.
+    """
+    sums = list(accumulate(words, initial=0)) if words else None
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -57,19 +98,11 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         while alo < ahi and blo < bhi and a[ahi - 1] == b[bhi - 1]:
             ahi, bhi = ahi - 1, bhi - 1
             out.append((ahi, bhi))
-        if alo == ahi or blo == bhi:
+        if alo == ahi or blo == bhi or (sums and sums[bhi] - sums[blo] < min_words):
             continue
-        na, nb = Counter(a[alo:ahi]), Counter(b[blo:bhi])
-        place = {x: i for i, x in enumerate(a[alo:ahi], alo) if na[x] == 1 and nb.get(x) == 1}
-        anchors = [(place[x], j) for j, x in enumerate(b[blo:bhi], blo) if x in place]
-        chain = [(i, j) for j, i in _chain([(j, i) for i, j in anchors])]
+        chain = [(i, j) for j, i in _chain(_anchors(a, b, alo, ahi, blo, bhi))]
         if not chain:
-            # no line stands once in both: the rarest common one, first to first, parts the gap
-            common = [x for x in nb if x in na]
-            if not common:
-                continue
-            x = min(common, key=lambda x: (na[x] + nb[x], b.index(x, blo, bhi)))
-            chain = [(a.index(x, alo, ahi), b.index(x, blo, bhi))]
+            continue
         before = (alo - 1, blo - 1)
         for i, j in [*chain, (ahi, bhi)]:
             if i > before[0] + 1 and j > before[1] + 1:
@@ -93,13 +126,21 @@ def _blocks(pairs: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield run
 
 
-def windows(lines: list[int], words: list[int], shared: list[bool], min_words: int) -> Iterator[tuple[int, list[int]]]:
-    """(hash, positions) of the shortest windows of shared lines with at least ``min_words`` words, up to each line and from each line on."""
+def _runs(shared: list[bool]) -> Iterator[list[int]]:
     run: list[int] = []
-    for j in range(len(lines) + 1):
-        if j < len(lines) and shared[j]:
+    for j, x in enumerate(shared):
+        if x:
             run.append(j)
-            continue
+        elif run:
+            yield run
+            run = []
+    if run:
+        yield run
+
+
+def windows(lines: list[int], words: list[int], shared: list[bool], min_words: int) -> Iterator[tuple[int, list[int]]]:
+    """(hash, positions) of the shortest windows of shared lines with at least ``min_words`` words, up to each line and from each line on."""
+    for run in _runs(shared):
         for step in (1, -1):
             lo = size = 0
             order = run[::step]
@@ -111,45 +152,56 @@ def windows(lines: list[int], words: list[int], shared: list[bool], min_words: i
                 if size >= min_words:
                     some = order[lo : n + 1][::step]
                     yield hash(tuple([lines[k] for k in some])), some
-        run = []
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks, consecutive in both, of at least ``min_words`` words.
+    """Positions in ``b`` of blocks, consecutive in both, of at least ``min_words`` words: aligned ones, then moved and repeated ones."""
+    known = set(a)
+    shared = [x in known for x in b]
+    if sum(w for w, x in zip(words, shared) if x) < min_words:
+        return []
+    out: set[int] = set()
+    for run in _blocks(patience(a, b, words, min_words)):
+        if sum(words[j] for j in run) >= min_words:
+            out.update(run)
+    if len(out) < sum(shared):
+        size = dict(zip(b, words))
+        both = {h for h, _ in windows(a, [size.get(x, 0) for x in a], [x in size for x in a], min_words)}
+        for h, some in windows(b, words, shared, min_words):
+            if h in both:
+                out.update(some)
+    return sorted(out)
 
-    An alignment keeps the order of lines, so what stands in another order in both needs one
-    more: lines that are aligned are set aside and the rest is aligned again, until nothing is.
-    Where lines repeat, an alignment may part a block; windows that both have settle these.
+
+def partners(doc_id: int, lines: list[int], words: list[int], held: list[dict], min_words: int) -> tuple[set[int], set[int]]:
+    """Earlier holders of the rare lines of one document, and its windows without rare lines.
+
+    ``held``: of each line that other documents have too its position ``at``, the number ``n``
+    of its holders, and of rare ones the first and the second holder. Runs of such lines with
+    fewer than ``min_words`` words can hold no block.
     """
-    out: list[int] = []
-    rest: list[int | None] = list(b)
-    known = set(a)
-    while any(x in known for x in rest):
-        pairs = patience(a, [("gone", i) if x is None else x for i, x in enumerate(rest)])
-        if not pairs:
-            break
-        for run in _blocks(pairs):
-            if sum(words[j] for j in run) >= min_words:
-                out += run
-        for _, j in pairs:
-            rest[j] = None
-    size = dict(zip(b, words))
-    both = {h for h, _ in windows(a, [size.get(x, 0) for x in a], [x in size for x in a], min_words)}
-    for h, some in windows(b, words, [x in known for x in b], min_words):
-        if h in both:
-            out += some
-    return sorted(set(out))
-
-
-def _windows(min_words: int):
+    shared, rare = [False] * len(lines), [False] * len(lines)
+    holders: dict[int, list[int]] = {}
+    for h in held:
+        shared[h["at"]] = True
+        if h["n"] <= RARE:
+            rare[h["at"]] = True
+            holders[h["at"]] = [x for x in (h["first"], h["second"]) if x < doc_id]
+    earlier = {x for run in _runs(shared) if sum(words[j] for j in run) >= min_words for j in run for x in holders.get(j, ())}
+    before = list(accumulate(rare, initial=0))
+    return earlier, {h for h, some in windows(lines, words, shared, min_words) if before[some[-1] + 1] == before[some[0]]}
+
+
+def _partners(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
-            ids, hashes = [], []
-            for doc_id, lines, words, shared in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "lines", "words", "shared"))):
-                found = {h for h, _ in windows(lines, words, shared, min_words)}
-                ids += [doc_id] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "window"])
+            ids, earlier, hashes = [], [], []
+            for doc_id, lines, words, held in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "lines", "words", "held"))):
+                old, shown = partners(doc_id, lines, words, held, min_words)
+                ids += [doc_id] * (len(old) + len(shown))
+                earlier += [*old, *[None] * len(shown)]
+                hashes += [*[None] * len(old), *shown]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, earlier, hashes)], names=["doc_id", "earlier", "window"])
 
     return run
 
@@ -171,8 +223,22 @@ def _align(min_words: int):
     return run
 
 
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document its lost places, sorted, and whether each line up to the last of them is lost."""
+    for batch in C.slices(batches):
+        gone, masks = [], []
+        for some in batch.column(2).to_pylist():
+            gone.append(sorted({x for places in some for x in places}))
+            mask = [False] * (gone[-1][-1] + 1)
+            for x in gone[-1]:
+                mask[x] = True
+            masks.append(mask)
+        arrays = [batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["later", "mark", "gone", "mask"])
+
+
 def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (later, mark, gone): documents that lose lines, a hash of their text, and the places of these lines (from 0), sorted."""
+    """Rows (later, mark, gone, mask): documents that lose lines, a hash of their text, the places of these lines (from 0) and which lines they are."""
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     listed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"),
@@ -185,56 +251,40 @@ def duplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # rows that repeat an id: the one with the smallest lines stands for it
     listed = listed.groupBy("doc_id").agg(F.min(F.struct("lines", "words", "places", "mark")).alias("l")).select("doc_id", "l.*")
     listed = C.written(listed, "lines")
-    each = listed.select("doc_id", F.posexplode("lines").alias("at", "line"))
-    holders = each.groupBy("line").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).filter("holder < last")
+    once = listed.select("doc_id", F.explode(F.array_distinct("lines")).alias("line"))
+    holders = once.groupBy("line").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_xor("doc_id").alias("x")
+    ).filter("n > 1")
+    between = F.when(F.col("n") == 2, F.col("last")).otherwise(F.col("x").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last")))
+    holders = holders.select("line", F.least("n", F.lit(RARE + 1)).cast("int").alias("n"), "first", between.alias("second"))
     holders = C.written(holders, "holders")  # a line that many documents have: Spark can split its side of the join, as the other is a table
-    held = each.join(holders, "line").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "holder"))).alias("held"))
-    # runs of lines that other documents have too: a passage cannot be longer than its run
-    marked = held.join(listed, "doc_id").select(
-        "doc_id", "lines", "words", F.transform("lines", lambda x, i: F.col("held")[i].isNotNull()).alias("shared"),
-        F.transform(
-            F.arrays_zip("words", "places"),
-            lambda x, i: F.struct(x["words"].alias("words"), F.when(F.col("held")[i] < F.col("doc_id"), F.col("held")[i]).alias("holder")),
-        ).alias("m"),
-    )
-    marked = C.written(marked, "marked")
-    shown = marked.select("doc_id", "lines", "words", "shared").mapInArrow(_windows(min_words), "doc_id long, window long")
-    shown = C.written(shown, "windows")
+    each = listed.select("doc_id", F.posexplode("lines").alias("at", "line"))
+    held = each.join(holders, "line").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "first", "second")).alias("held"))
+    shown = held.join(listed, "doc_id").select("doc_id", "lines", "words", "held").mapInArrow(_partners(min_words), "doc_id long, earlier long, window long")
+    shown = C.written(shown, "partners")
+    by_line = shown.filter("earlier IS NOT NULL").select(F.col("doc_id").alias("later"), "earlier")
+    shown = shown.filter("window IS NOT NULL").select("doc_id", "window")
     firsts = shown.groupBy("window").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).filter("earlier < last")
     firsts = C.written(firsts.select("window", "earlier"), "firsts")  # as with lines
     by_window = shown.join(firsts, "window").filter("earlier < doc_id").select(F.col("doc_id").alias("later"), "earlier")
-    first = F.aggregate(
-        "m",
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("run"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, x: F.when(
-            x["holder"].isNotNull(),
-            F.struct((s["n"] + x["words"]).alias("n"), F.array_union(s["run"], F.array(x["holder"])).alias("run"), s["out"].alias("out")),
-        ).otherwise(
-            F.struct(
-                F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("run"),
-                F.when(s["n"] >= min_words, F.array_union(s["out"], s["run"])).otherwise(s["out"]).alias("out"),
-            )
-        ),
-        lambda s: F.when(s["n"] >= min_words, F.array_union(s["out"], s["run"])).otherwise(s["out"]),
-    )
-    by_line = marked.select(F.col("doc_id").alias("later"), F.explode(first).alias("earlier"))
     pairs = C.written(by_line.union(by_window).distinct(), "pairs")
     old = listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("a"))
     new = listed.select(F.col("doc_id").alias("later"), F.col("lines").alias("b"), "words", "places", "mark")
     aligned = pairs.join(old, "earlier").join(new, "later").select("later", "mark", "a", "b", "words", "places")
     found = aligned.mapInArrow(_align(min_words), "later long, mark long, gone array<int>")
-    return found.groupBy("later", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    lost = found.groupBy("later", "mark").agg(F.collect_list("gone").alias("gone"))
+    return lost.mapInArrow(_masks, "later long, mark long, gone array<int>, mask array<boolean>")
 
 
 def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs`` beside __text, __removed, __words and __count."""
-    gone = C.written(duplicated_lines(docs, min_words), "gone").select(F.col("later").alias("__later"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    gone = C.written(duplicated_lines(docs, min_words), "gone").select(F.col("later").alias("__later"), F.col("mark").alias("__mark"), F.col("mask").alias("__gone"))
     # merged at every size: a broadcast that ends with the input's growth would hide what the texts' way costs
     same = (docs["doc_id"].cast("long") == F.col("__later")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark"))
     rows = docs.join(gone.hint("merge"), same, "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
-    lost = F.filter(lines, lambda x, i: F.array_contains(F.col("__gone"), i.cast("int")))
+    left = F.filter(lines, lambda x, i: ~F.coalesce(F.get("__gone", i), F.lit(False)))
+    lost = F.filter(lines, lambda x, i: F.coalesce(F.get("__gone", i), F.lit(False)))
     hit = F.col("__gone").isNotNull() & F.col("text").isNotNull()
     keep = F.array_join(left, "\n")
     out = {
