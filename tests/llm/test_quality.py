@@ -54,3 +54,26 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, [Q.scores([t], weights, 0.1)[0] for t in texts], atol=1e-9)
     brute = lambda t: sum(s * weights[i] for i, s in zip(*Q.document_features(t)))
     assert np.allclose(together, [1 / (1 + np.exp(-0.1 - brute(t))) for t in texts], atol=1e-5)
+
+
+def test_distances_to_the_same_word():
+    words = "a b a a c b a a".split()
+    own = np.array([1, 1, 1, 1, 2, 2, 2, 2])
+    code = np.array([ord(w) for w in words], np.uint32)
+    want = []
+    for i, w in enumerate(words):
+        before = [j for j in range(i) if words[j] == w and own[j] == own[i]]
+        want.append(1 + int(np.ceil(np.log2(i - before[-1]))) if before else 0)
+    assert Q._since(code, own).tolist() == want == [0, 0, 2, 1, 0, 0, 0, 1]
+
+
+def test_training_rows_and_bytes_are_bounded(spark, documents, monkeypatch):
+    rows = [(i, f"text {i} " * 20, "s") for i in range(30)] + [(3, "text 3 again", "s")] * 50 + [(3, "a text 3", "s")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(30), 3, 3]], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda examples: seen.append(len(examples)) or (np.zeros(Q.BUCKETS), 0.0))
+    Q.train(documents(rows), labels, "quality", Q.F.lit(True), max_train=7)
+    Q.train(documents(rows), labels, "quality", Q.F.lit(True), max_train=2)
+    Q.train(documents(rows), labels, "quality", Q.F.lit(True), max_train=1000)
+    Q.train(documents(rows), labels, "quality", Q.F.lit(True), max_bytes=1000)
+    assert seen[:3] == [7, 2, 30] and 4 <= seen[3] <= 8

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written as written  # operators write their tables through this module
+
 #: Rows that a Python worker turns into objects at a time.
 SLICE_ROWS = 256
 #: Entries after which a per-task cache of words is dropped and started anew.
@@ -22,46 +22,6 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 #: The same words in text, as a pattern.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-_tables: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where unset, a new one of our own (local sessions)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            folder = have.get()
-        else:
-            folder = "file://" + tempfile.mkdtemp(prefix="webquarry-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: cuts the lineage and survives lost executors.
-
-    The tables go when the driver's Python ends, as a result that is not yet read may need them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/webquarry/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _tables:
-        atexit.register(_remove, spark)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession) -> None:
-    try:
-        jvm = spark._jvm
-        for path in _tables:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended before: its folder is the cluster's to clean
-        pass
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,6 +51,36 @@ class HashedWords(dict):
         return h
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame, limits: int | dict[int, int], max_bytes: int) -> pa.Table:
+    """A bounded sample of labelled whole texts on the driver: (doc_id, label, text), sorted by doc_id.
+
+    ``known`` has one row (doc_id, label) for each labelled id. The ids with the smallest
+    hashes are taken, at most ``limits`` of them (or of each label in ``limits``), and of
+    these, in the same order, as long as their texts (of that label) have at most
+    ``max_bytes`` bytes together. A text that is longer than that alone is passed over. Of
+    rows that repeat an id the smallest text counts.
+    """
+    order = [F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id")]
+    parts = [(known.filter(F.col("label") == y), n) for y, n in limits.items()] if isinstance(limits, dict) else [(known, limits)]
+    some = reduce(DataFrame.union, (part.orderBy(*order).limit(n) for part, n in parts))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    # broadcast: at most the limits' rows of two numbers
+    rows = texts.join(F.broadcast(some), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = written(rows, "sample")
+    sizes = rows.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), order[0].alias("h")).collect()
+    left, chosen = {}, []
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        of = r.label if isinstance(limits, dict) else None
+        if r.size <= max_bytes:
+            left[of] = left.get(of, max_bytes) - r.size
+            if left[of] >= 0:
+                chosen.append((r.doc_id,))
+    if not chosen:
+        return rows.limit(0).toArrow()
+    ids = docs.sparkSession.createDataFrame(chosen, "id long")
+    return rows.join(F.broadcast(ids), F.col("id") == F.col("doc_id"), "left_semi").toArrow().sort_by("doc_id")
+
+
 def word_count(text) -> F.Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

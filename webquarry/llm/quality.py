@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Every whitespace-separated word gives hashed features: the word itself and the character
-n-grams of ``<word>``. A document is the average of its features' learned vectors; a
+Every whitespace-separated word gives hashed features: the word itself, the character n-grams
+of ``<word>`` and how many words ago the same word stood (to the next power of two, as
+n-grams of words cannot tell it of words that training has not seen). A document is the
+average of its features' learned vectors, each kind of feature with the same share; a
 softmax over two outputs gives the score. Training is plain stochastic gradient descent in
-numpy on at most ``max_train`` labelled documents, each reduced on the executors to its
-counts over ``BUCKETS`` features. As the score is linear in the average, scoring needs one
+numpy on whole texts of at most ``max_train`` labelled documents, ``max_bytes`` together. As the score is linear in the average, scoring needs one
 number for each bucket, so the model that goes to the executors has a fixed size.
 """
 
@@ -21,11 +22,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS, DIMS = 1 << 15, 16
-#: Bound on the labelled documents that training reads, taken in the order of a hash of their ids.
-MAX_TRAIN = 3000
+#: Bounds on the labelled documents that training reads, taken in the order of a hash of their ids, and on the bytes of their texts.
+MAX_TRAIN, MAX_BYTES = 3000, 16_000_000
 EPOCHS, RATE, SEED = 4, 0.5, 7
-#: How often the feature "repeated" counts for a word that repeats the word before it.
-AGAIN = 8
 
 
 def _spread(h: np.ndarray, seed: int) -> np.ndarray:
@@ -36,20 +35,24 @@ def _spread(h: np.ndarray, seed: int) -> np.ndarray:
     return (h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)
 
 
-def gram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a few whole texts: per kind of feature (positions, buckets, how often each counts).
+def _since(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How many words ago the same word stood in the same text, to the next power of two; 0: it did not."""
+    key = words.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(words), np.uint32)
+    out[order[1:][same]] = 1 + np.ceil(np.log2((order[1:] - order[:-1])[same])).astype(np.uint32)
+    return out
 
-    Positions are offsets in the texts joined by one blank each, see ``starts_of``. A word
-    that repeats the one before it counts as ``AGAIN`` times the feature "repeated" in
-    place of its own features.
-    """
+
+def gram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a few whole texts: per kind of feature (positions, buckets). Positions are offsets in the texts joined by one blank each, see ``starts_of``."""
     cp = np.frombuffer(f" {' '.join(texts)} ".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     gap = (cp == 32) | ((cp >= 9) & (cp <= 13))
     cp[gap] = 32
     first = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
     if not len(first):
         return
-    last = np.flatnonzero(~gap[:-1] & gap[1:])
     at = np.arange(len(cp), dtype=np.uint32)
     begin = np.zeros(len(cp), np.uint32)
     begin[first] = first
@@ -58,23 +61,15 @@ def gram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     letters = (letters ^ (letters >> np.uint32(16))) * np.uint32(0xC2B2AE3D)
     letters[gap] = 0
     words = np.add.reduceat(letters, first, dtype=np.uint32)
-    owner = np.searchsorted(starts_of(texts), first, "right")
-    again = np.zeros(len(first), bool)
-    again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    whole = _spread(words, 1)
-    whole[again] = _spread(np.zeros(1, np.uint32), 2)[0]
-    yield first, whole, np.where(again, np.float32(AGAIN), np.float32(1))
-    if again.any():  # their letters give no n-grams
-        size = last[again] - first[again] + 1
-        runs = np.repeat(first[again] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        gap[runs] = True
+    yield first, _spread(words, 1)
+    yield first, _spread(_since(words, np.searchsorted(starts_of(texts), first, "right")), 2)
     poly, inside = cp, np.zeros(len(cp), bool)
     for n in range(2, 6):
         poly = poly[:-1] * np.uint32(0x01000193) + cp[n - 1 :]
         if n > 2:
             inside = inside[:-1] | gap[n - 2 : len(gap) - 1]
             at_n = np.flatnonzero(~inside)
-            yield at_n, _spread(poly[at_n], n), np.ones(len(at_n), np.float32)
+            yield at_n, _spread(poly[at_n], n)
         else:
             inside = inside[:-1]
 
@@ -84,25 +79,26 @@ def starts_of(texts: list[str]) -> np.ndarray:
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and the share of each."""
-    found = list(gram_buckets([text or ""]))
+    """Distinct buckets of a whole text and the share of each; all kinds of features together have the same share."""
+    found = [buckets for _, buckets in gram_buckets([text or ""]) if len(buckets)]
     if not found:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    sums = np.bincount(np.concatenate([f[1] for f in found]), weights=np.concatenate([f[2] for f in found]))
-    at = np.flatnonzero(sums)
-    return at.astype(np.int32), (sums[at] / sums.sum()).astype(np.float32)
+    shares = np.bincount(np.concatenate(found), weights=np.concatenate([np.full(len(x), 1 / (len(x) * len(found))) for x in found]))
+    at = np.flatnonzero(shares)
+    return at.astype(np.int32), shares[at].astype(np.float32)
 
 
 def log_odds(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """Of each text the log-odds of label 1."""
-    total, number = np.zeros(len(texts)), np.zeros(len(texts))
+    total, kinds = np.zeros(len(texts)), np.zeros(len(texts))
     starts = starts_of(texts)
-    for at, buckets, times in gram_buckets(texts):
+    for at, buckets in gram_buckets(texts):
         bounds = np.searchsorted(at, np.append(starts, np.iinfo(np.int64).max))
-        for out, x in ((total, weights[buckets] * times), (number, times)):
-            sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-            out += sums[bounds[1:]] - sums[bounds[:-1]]
-    return bias + np.divide(total, number, out=np.zeros(len(texts)), where=number > 0)
+        sums = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
+        number = np.diff(bounds)
+        total += np.divide(sums[bounds[1:]] - sums[bounds[:-1]], number, out=np.zeros(len(texts)), where=number > 0)
+        kinds += number > 0
+    return bias + np.divide(total, kinds, out=np.zeros(len(texts)), where=kinds > 0)
 
 
 def _by_size(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -123,15 +119,6 @@ def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.empty(0)]), -500, 500)))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches):
-        made = [document_features(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
-            names=["doc_id", "label", "ids", "shares"],
-        )
-
-
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
     """From (label, buckets, shares): what each bucket adds to the log-odds of label 1, and the bias.
 
@@ -163,24 +150,14 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return (table @ (out[:, 1] - out[:, 0])).astype(np.float64), float(offset[1] - offset[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str, usable: Column, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_train`` of the ``labels`` rows (doc_id, target) for which ``usable`` holds."""
+def train(docs: DataFrame, labels: DataFrame, target: str, usable: Column, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
+    """Fit on at most ``max_train`` of the ``labels`` rows (doc_id, target) for which ``usable`` holds, and at most ``max_bytes`` of text."""
     known = (
         labels.filter(usable & F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
         .groupBy("doc_id").agg(F.min(target).cast("int").alias("label"))
-        .orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(max_train)
     )
-    # bounded by max_train rows of two numbers
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), F.col("id") == F.col("doc_id")).select("doc_id", "label", "text")
-    got = rows.mapInArrow(_features, "doc_id long, label int, ids array<int>, shares array<float>").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    y = got.column("label").to_pylist()
-    ids, shares = got.column("ids").combine_chunks(), got.column("shares").combine_chunks()
-    flat_i, flat_s = ids.flatten().to_numpy(zero_copy_only=False), shares.flatten().to_numpy(zero_copy_only=False)
-    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]) if len(y) else np.zeros(1, int)
-    examples = [(y[i], flat_i[at[i] : at[i + 1]], flat_s[at[i] : at[i + 1]]) for i in order]
-    return fit(examples)
+    got = C.labelled_texts(docs, known, max_train, max_bytes)
+    return fit([(y, *document_features(t)) for y, t in zip(got.column("label").to_pylist(), got.column("text").to_pylist())])
 
 
 def _scorer(weights: np.ndarray, bias: float):
@@ -221,8 +198,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_tra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, reject_below: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``reject_below``."""
-    weights, bias = train(docs, labels, "quality", F.lit(True), max_train)
+    """The rows of ``docs``, all columns, that score at least ``reject_below``; labels that ``classify`` holds out do not teach here either."""
+    weights, bias = train(docs, labels, "quality", remainder(4) != 2, max_train)
 
     @F.pandas_udf("double")
     def rated(text):

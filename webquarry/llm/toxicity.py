@@ -4,12 +4,14 @@ Words of a line are a chain with two labels. Emissions are sums of learned weigh
 features: the word, its beginnings and end, its neighbours. Labels are given for documents
 only, so words are labelled first: features that are far more frequent in toxic training
 documents and explain documents that others do not yet explain (a greedy cover) mark the
-toxic words. The chain is trained on lines of a bounded sample by gradient steps with
-forward-backward marginals in numpy. A document's score is a logistic function of its
-words' marginals; the words whose marginal is at least one half are the offending spans.
-
-Marginals below ``FLOOR`` count as zero. The transitions bound from above what a word's
-emission can become, so lines in which no word can reach the floor need no chain.
+toxic words. The chain is trained on all lines of a bounded sample of whole texts by
+gradient steps with forward-backward marginals in numpy. A document's score is a logistic
+function of the marginals of all its words; the words whose marginal is at least one half
+are the offending spans.
+
+Forward and backward messages are products of 2x2 matrices. Many lines, whatever their
+lengths, are one sequence of them in which the first word of a line forgets what was
+before: its pieces are multiplied side by side, then walked side by side.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from .quality import remainder
 
 BITS = 20
 KINDS = 7
-#: Bounds of training: labelled documents of either class, lines of one of them, words of a line.
-MAX_TOXIC, MAX_OTHER, MAX_LINES, MAX_WORDS = 1200, 2400, 4, 120
+#: Bounds of training: labelled documents of either class, and bytes of text of either class.
+MAX_TOXIC, MAX_OTHER, MAX_BYTES = 1200, 2400, 6_000_000
 #: How many times more frequent among the words of toxic documents a marking feature is, in how many of them at least, what it explains at least.
 RATIO, LEAST, EXPLAINS = 15.0, 5, 3.0
-EPOCHS, RATE, SEED = 4, 0.4, 5
-FLOOR = 0.05
+EPOCHS, RATE, SEED = 3, 0.4, 5
+#: Words of a gradient step.
+STEP_WORDS = 8000
 
 _LINES = bytearray(C.WORD_BYTES)
 _LINES[10] = 10
@@ -96,46 +99,60 @@ def evidence(marginals: np.ndarray) -> tuple[float, float, float]:
     return float(marginals.max(initial=0)), float(np.log1p(total)), float(np.log1p(100 * total / (len(marginals) + 20)))
 
 
+def _messages(m: np.ndarray) -> np.ndarray:
+    """Of the row vectors s[t] = s[t - 1] m[:, t] the share of their second entry; matrices are (m00, m01, m10, m11), the first one's rows are equal."""
+    n = m.shape[1]
+    steps = max(1, int(n**0.5) // 3)
+    columns = -(-n // steps)
+    whole = np.zeros((4, columns * steps))
+    whole[0, n:] = whole[3, n:] = 1
+    whole[:, :n] = m
+    g = np.ascontiguousarray(whole.reshape(4, columns, steps).transpose(2, 0, 1))
+    p = g[0]
+    for q in g[1:]:
+        left, right = p[[0, 2]], p[[1, 3]]
+        p = np.stack((left * q[0] + right * q[2], left * q[1] + right * q[3]), axis=1).reshape(4, columns)
+        p /= p.sum(axis=0)
+    x, begins = 0.5, []
+    for a, b, c, d in p.T.tolist():
+        begins.append(x)
+        one = (1 - x) * b + x * d
+        x = one / (one + (1 - x) * a + x * c)
+    x, out = np.array(begins), np.empty((steps, columns))
+    for t, q in enumerate(g):
+        y = 1 - x
+        one = y * q[1] + x * q[3]
+        x = out[t] = one / (one + y * q[0] + x * q[2])
+    return out.T.ravel()[:n]
+
+
+def forward_backward(u: np.ndarray, line: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals of label 1, shares of label 1 in the messages from before and from behind, emission factors) of words with the lines they stand in."""
+    a, e = np.exp(change), np.exp(np.clip(u, -30, 30))
+    begin = np.diff(line, prepend=-1) != 0
+    m = np.stack((np.where(begin, 1.0, a[0, 0]), np.where(begin, e, a[0, 1] * e), np.where(begin, 1.0, a[1, 0]), np.where(begin, e, a[1, 1] * e)))
+    f = _messages(m)
+    # from behind: the word behind speaks, and nothing behind the last of a line
+    end = np.append(begin[1:], True)
+    e1 = np.append(e[1:], 1.0)
+    m = np.stack((np.where(end, 1.0, a[0, 0]), np.where(end, 1.0, a[1, 0]), np.where(end, 1.0, a[0, 1] * e1), np.where(end, 1.0, a[1, 1] * e1)))
+    b = _messages(m[:, ::-1])[::-1]
+    p = f * b
+    return p / (p + (1 - f) * (1 - b)), f, b, e
+
+
 class Model:
     """weights: of each feature for label 1 over label 0; bias; change: log-potentials [before, after]; scale: of the document score."""
 
     def __init__(self, weights: np.ndarray, bias: float, change: np.ndarray, scale: tuple[float, ...] = (-3.0, 1.0, 1.0, 1.0)):
         self.weights, self.bias, self.change, self.scale = weights.astype(np.float32), bias, change, scale
-        a = change
-        to = max(a[0, 1] - a[0, 0], a[1, 1] - a[1, 0], 0.0)  # most that the word before, or after, can add
-        back = max(a[1, 0] - a[0, 0], a[1, 1] - a[0, 1], 0.0)
-        self.enough = float(np.log(FLOOR / (1 - FLOOR)) - to - back)
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return self.weights[features].sum(axis=1, dtype=np.float64) + self.bias
 
-    def marginals(self, u: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each word of one chain."""
-        a = np.exp(self.change)
-        e = np.exp(np.clip(u, -30, 30))
-        n = len(u)
-        f, b = np.empty(n), np.empty(n)  # share of label 1 in the messages
-        x = 0.0
-        for t in range(n):
-            zero, one = (1.0, e[t]) if t == 0 else ((1 - x) * a[0, 0] + x * a[1, 0], ((1 - x) * a[0, 1] + x * a[1, 1]) * e[t])
-            f[t] = x = one / (zero + one)
-        y = 0.5
-        for t in range(n - 1, -1, -1):
-            b[t] = y
-            zero, one = (1 - y) * a[0, 0] + y * e[t] * a[0, 1], (1 - y) * a[1, 0] + y * e[t] * a[1, 1]
-            y = one / (zero + one)
-        p = f * b
-        return p / (p + (1 - f) * (1 - b))
-
     def tag(self, features: np.ndarray, line: np.ndarray) -> np.ndarray:
-        """Marginals of label 1, those below ``FLOOR`` as 0."""
-        u = self.emissions(features)
-        out = np.zeros(len(u))
-        for x in np.unique(line[u >= self.enough]):
-            lo, hi = np.searchsorted(line, [x, x + 1])
-            out[lo:hi] = self.marginals(u[lo:hi])
-        out[out < FLOOR] = 0
-        return out
+        """Marginals of label 1 of all words."""
+        return forward_backward(self.emissions(features), line, self.change)[0] if len(features) else np.empty(0)
 
     def score(self, marginals: np.ndarray) -> float:
         z = float(np.dot(self.scale, (1.0, *evidence(marginals))))
@@ -186,84 +203,37 @@ def marking_features(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> np.n
     return np.array(sorted(out))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches, 64):
-        f, _, bounds = word_features(texts := [t or b"" for t in C.text_bytes(batch.column(2))])
-        found = [np.unique(f[bounds[i] : bounds[i + 1], :4], return_counts=True) for i in range(len(texts))]
-        arrays = [pa.array([x[j].astype(np.int32) for x in found], pa.list_(pa.int32())) for j in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "label", "features", "counts"])
-
-
-def _chains(marks: np.ndarray):
-    """Of each document its lines with marked words first, then others; label 1 for marked words of toxic documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.zeros(1 << BITS, bool)
-        hot[marks] = True
-        for batch in C.slices(batches, 64):
-            labels = batch.column(1).to_pylist()
-            f, line, bounds = word_features(texts := [t or b"" for t in C.text_bytes(batch.column(2))])
-            marked = hot[f[:, :4]].any(axis=1) if len(f) else np.zeros(0, bool)
-            ids, feats, tags = [], [], []
-            for i in range(len(texts)):
-                own = slice(bounds[i], bounds[i + 1])
-                at = np.flatnonzero(marked[own]) + bounds[i]
-                lines = np.concatenate([np.unique(line[at]), np.setdiff1d(line[own], line[at])])
-                for x in [*lines[: MAX_LINES - 1], *lines[MAX_LINES - 1 :][-1:]]:
-                    lo, hi = np.searchsorted(line, [x, x + 1])
-                    if (hot_at := np.flatnonzero(marked[lo:hi])).size:
-                        lo = max(lo, lo + int(hot_at[0]) - MAX_WORDS // 3)
-                    hi = min(hi, lo + MAX_WORDS)
-                    ids.append(batch.column(0)[i].as_py())
-                    feats.append(f[lo:hi].astype(np.int32).ravel())
-                    tags.append((marked[lo:hi] & bool(labels[i])).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], names=["doc_id", "features", "tags"]
-            )
-
-    return run
-
-
-def fit(chains: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """From (features [words, KINDS], tags) by AdaGrad steps on the likelihood of the tags."""
-    weights, power = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
+def fit(features: np.ndarray, line: np.ndarray, tags: np.ndarray) -> Model:
+    """By AdaGrad steps on the likelihood of the tags; a step takes whole lines, chosen at random."""
+    seen = np.bincount(features.ravel(), minlength=1 << BITS) > 0
+    kinds, features = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[features]
+    weights, power = np.zeros(len(kinds)), np.full(len(kinds), 1e-2)
     bias, change = -2.0, np.zeros((2, 2))
     small = np.full((2, 3), 1.0)
     rng = np.random.default_rng(SEED)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    size = np.diff(np.append(first, len(line)))
     for _ in range(EPOCHS):
-        order = rng.permutation(len(chains))
-        for at in range(0, len(order), 128):
-            some = [chains[i] for i in order[at : at + 128]]
-            size = np.array([len(t) for _, t in some])
-            m, n = len(some), int(size.max())
-            f = np.zeros((m, n, KINDS), np.int64)
-            y = np.zeros((m, n), np.int64)
-            real = np.arange(n)[None, :] < size[:, None]
-            for i, (x, t) in enumerate(some):
-                f[i, : len(t)], y[i, : len(t)] = x, t
-            e = np.ones((m, n, 2))
-            e[..., 1] = np.exp(np.clip(weights[f].sum(axis=2) + bias, -30, 30))
+        order = rng.permutation(len(first))
+        ends = np.flatnonzero(np.diff(np.cumsum(size[order]) // STEP_WORDS, prepend=0)) + 1
+        for some in np.split(order, ends):
+            if not len(some):
+                continue
+            words = np.repeat(first[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+            f, y, own = features[words], tags[words], np.repeat(np.arange(len(some)), size[some])
+            p, before, behind, e = forward_backward(weights[f].sum(axis=1) + bias, own, change)
+            error = y - p
+            # expected and seen changes from one word to the next of its line
+            t = np.flatnonzero(own[1:] == own[:-1])
             a = np.exp(change)
-            alpha, beta = np.ones((m, n, 2)), np.ones((m, n, 2))
-            alpha[:, 0] = e[:, 0]
-            alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
-            for t in range(1, n):
-                x = (alpha[:, t - 1] @ a) * e[:, t]
-                alpha[:, t] = x / x.sum(axis=1, keepdims=True)
-            for t in range(n - 2, -1, -1):
-                x = (beta[:, t + 1] * e[:, t + 1]) @ a.T
-                x /= x.sum(axis=1, keepdims=True)
-                beta[:, t] = np.where(real[:, t + 1, None], x, 1.0)
-            p = alpha * beta
-            p = (p / p.sum(axis=2, keepdims=True))[..., 1]
-            error = np.where(real, y - p, 0.0)
-            pair = alpha[:, :-1, :, None] * a[None, None] * (e * beta)[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            both = real[:, 1:]
-            expected = (pair * both[..., None, None]).sum(axis=(0, 1))
-            seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
-            used, where = np.unique(f[real].ravel(), return_inverse=True)
-            step = np.bincount(where, weights=np.repeat(error[real], KINDS)) - 1e-3 * weights[used]
+            left = np.stack((1 - before[t], before[t]))
+            right = np.stack((1 - behind[t + 1], e[t + 1] * behind[t + 1]))
+            pair = left[:, None] * a[:, :, None] * right[None]
+            expected = (pair / pair.sum(axis=(0, 1))).sum(axis=2)
+            seen = np.bincount(2 * y[t].astype(np.int64) + y[t + 1].astype(np.int64), minlength=4).reshape(2, 2)
+            step = np.bincount(f.ravel(), weights=np.repeat(error, KINDS), minlength=len(kinds))
+            used = np.flatnonzero(np.bincount(f.ravel(), minlength=len(kinds)))
+            step = step[used] - 1e-3 * weights[used]
             power[used] += step * step
             weights[used] += RATE * step / np.sqrt(power[used])
             g = np.array([[(seen - expected)[0, 1], (seen - expected)[1, 0], (seen - expected)[1, 1]], [error.sum(), 0, 0]])
@@ -271,10 +241,12 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]]) -> Model:
             g = RATE / 4 * g / np.sqrt(small)
             change = np.clip(change + np.array([[0, g[0, 0]], [g[0, 1], g[0, 2]]]), -4, 4)
             bias += g[1, 0]
-    return Model(weights, float(bias), change)
+    every = np.zeros(1 << BITS)
+    every[kinds] = weights
+    return Model(every, float(bias), change)
 
 
-def fit_scale(rows: list[tuple[int, list[float]]]) -> tuple[float, ...]:
+def fit_scale(rows: list[tuple[int, tuple[float, ...]]]) -> tuple[float, ...]:
     """Logistic regression of the label on ``evidence``, by Newton steps with a small ridge."""
     y = np.array([r[0] for r in rows], float)
     x = np.array([(1.0, *r[1]) for r in rows])
@@ -286,43 +258,37 @@ def fit_scale(rows: list[tuple[int, list[float]]]) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | float:
-    """The model, or the share of toxic labels (one of each class added) if the training rows hold one class only."""
+def learn(texts: list[bytes], labels: list[int]) -> Model | float:
+    """The model from whole texts, or the share of toxic labels (one of each class added) if they hold one class only."""
+    if sum(labels) in (0, len(labels)):
+        return (sum(labels) + 1) / (len(labels) + 2)
+    parts, lines, bounds, seen = [], [], [np.zeros(1, np.int64)], 0
+    for lo, hi in _groups(texts):
+        f, line, at = word_features(texts[lo:hi])
+        parts.append(f)
+        lines.append(line + seen)
+        bounds.append(at[1:] + bounds[-1][-1])
+        seen += sum(t.count(b"\n") + 1 for t in texts[lo:hi])
+    features, line, at = np.concatenate(parts), np.concatenate(lines), np.concatenate(bounds)
+    own = [slice(at[i], at[i + 1]) for i in range(len(texts))]
+    marks = marking_features([(y, *np.unique(features[own[i], :4], return_counts=True)) for i, y in enumerate(labels)])
+    hot = np.zeros(1 << BITS, bool)
+    hot[marks] = True
+    toxic = np.repeat(np.array(labels, bool), np.diff(at))
+    model = fit(features, line, hot[features[:, :4]].any(axis=1) & toxic)
+    marginals = model.tag(features, line)
+    model.scale = fit_scale([(y, evidence(marginals[own[i]])) for i, y in enumerate(labels)])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, max_bytes: int = MAX_BYTES) -> Model | float:
+    """The model of a sample of the labelled documents: at most ``max_toxic`` and ``max_other`` of them and ``max_bytes`` of text of either class."""
     known = (
         labels.filter((remainder(3) != 1) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     )
-    order = [F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id")]
-    known = known.filter("label = 1").orderBy(*order).limit(MAX_TOXIC).union(known.filter("label = 0").orderBy(*order).limit(MAX_OTHER))
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    # bounded by the two limits
-    sample = C.written(texts.join(F.broadcast(known), F.col("id") == F.col("doc_id")).select("doc_id", "label", "text"), "sample")
-    got = sample.mapInArrow(_distinct, "doc_id long, label int, features array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    y = got.column("label").to_pylist()
-    if sum(y) in (0, len(y)):
-        return (sum(y) + 1) / (len(y) + 2)
-    marks = marking_features([(a, b.values.to_numpy(), c.values.to_numpy()) for a, b, c in zip(y, got.column("features"), got.column("counts"))])
-    got = sample.mapInArrow(_chains(marks), "doc_id long, features array<int>, tags array<int>").toArrow()
-    chains = [(i, f.values.to_numpy().reshape(-1, KINDS), t.values.to_numpy()) for i, f, t in zip(got.column("doc_id").to_pylist(), got.column("features"), got.column("tags"))]
-    chains.sort(key=lambda c: (c[0], c[1].tobytes()))
-    model = fit([(f, t) for _, f, t in chains if len(t)])
-    rows = [(r.label, r.evidence) for r in _tagged(sample, model).orderBy("doc_id", "evidence").collect()]  # bounded by the limits
-    model.scale = fit_scale(rows)
-    return model
-
-
-def _tagged(docs: DataFrame, model: Model) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
-            texts = [t or b"" for t in C.text_bytes(batch.column(2))]
-            found = []
-            for lo, hi in _groups(texts):
-                f, line, bounds = word_features(texts[lo:hi])
-                p = model.tag(f, line)
-                found += [evidence(p[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "label", "evidence"])
-
-    return docs.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, evidence array<double>")
+    got = C.labelled_texts(docs, known, {1: max_toxic, 0: max_other}, max_bytes)
+    return learn([t or b"" for t in C.text_bytes(got.column("text").combine_chunks())], got.column("label").to_pylist())
 
 
 def _spans(model: Model | float):
