@@ -44,12 +44,14 @@ _tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where unset, a new one of our own (local sessions)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where unset, a new one of our own, in local sessions only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             folder = have.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="webquarry-")
             spark.sparkContext.setCheckpointDir(folder)
