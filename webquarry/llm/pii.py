@@ -1,11 +1,13 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
 Validated numbers (payment cards by Luhn, bank accounts by their check digits, phone
-numbers, national ids, IP addresses), calendar dates, e-mail addresses and secrets are found
-and replaced by a keyed permutation of their own format: digits stay digits, letters
-letters of their case, separators stay, cards and accounts stay valid, dates stay dates.
-Equal values get equal pseudonyms in all documents and, as the map is a permutation,
-different ones different; whoever holds the key can reverse it.
+numbers, national ids, IP addresses of both versions), calendar dates, e-mail addresses and
+secrets are found and replaced by a keyed permutation of their own format: digits stay
+digits, letters letters of their case, separators stay, cards and accounts stay valid, dates
+stay dates. Equal values get equal pseudonyms in all documents and, as the map is a
+permutation, different ones different; whoever holds the key can reverse it. Dates and IPv6
+addresses are permuted as values: 12/03/1990 and March 12, 1990 stay the same day. The key
+is no part of this module, see ``key_of``.
 """
 
 from __future__ import annotations
@@ -13,28 +15,39 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import ipaddress
+import os
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-KEY = b"webquarry pseudonyms"
+#: Where the key of the pseudonyms stands: a setting of the session, or of the driver's environment.
+KEY_SETTING, KEY_VARIABLE = "spark.webquarry.pii.key", "WEBQUARRY_PII_KEY"
 ROUNDS = 8
+#: Characters that are permuted as one number.
+PIECE = 256
+MONTHS = "January February March April May June July August September October November December".split()
 
 #: What names a secret, up to its value: the quotes around the name and before the value are part of it.
 _NAMED = r"(?i:(?:password|passwd|secret|api_key|apikey|token)[\"']?\s?[=:]\s?)"
 
+_MONTH = "(?:" + "|".join(f"{m}|{m.upper()}|{m[:3]}|{m[:3].upper()}" for m in MONTHS) + r")\.?"
+
 #: Kinds in the order of their precedence where they begin at the same place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk[-_][A-Za-z0-9_-]{16,}|" + _NAMED + r"(?:\"[^\s\"]{6,}(?=\")|'[^\s']{6,}(?=')|[\"']?[^\s\"'<>,;]{6,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
+    "day": rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH},? [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -49,6 +62,22 @@ _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
 _DATES = {"-": "%Y-%m-%d", "/": "%m/%d/%Y", ".": "%d.%m.%Y"}
 
 
+_session_key: list[bytes] = []
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session or the environment names; where neither does, a random one that lasts as long as the driver's Python.
+
+    With a random key equal values are linked within the session only, and nobody can reverse them later.
+    """
+    named = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    if named:
+        return named.encode()
+    if not _session_key:
+        _session_key.append(secrets.token_bytes(32))
+    return _session_key[0]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -92,7 +121,23 @@ _CLASS = {c: k for k in _CLASSES for c in k}
 
 
 def permute_format(text: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """Digits to digits, letters to letters of their case; the rest stays. The format is part of the tweak."""
+    """Digits to digits, letters to letters of their case; the rest stays. The format is part of the tweak.
+
+    Texts longer than ``PIECE`` are permuted piece by piece, each with the pieces before it as
+    part of its tweak.
+    """
+    if len(text) <= PIECE:
+        return _permute_piece(text, key, tweak, back)
+    out, known = [], hashlib.sha256()
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        new = _permute_piece(piece, key, f"{tweak}|{known.hexdigest()}", back)
+        known.update((new if back else piece).encode())
+        out.append(new)
+    return "".join(out)
+
+
+def _permute_piece(text: str, key: bytes, tweak: str, back: bool) -> str:
     classes = [_CLASS.get(c) for c in text]
     n = x = 0
     size = 1
@@ -112,6 +157,40 @@ def permute_format(text: str, key: bytes, tweak: str, back: bool = False) -> str
     return "".join(reversed(out))
 
 
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+_NAMED_DAY = re.compile(r"(?P<d>[0-9]{1,2})(?P<th>[a-z]{2})?(?![0-9])|(?P<m>[A-Z][A-Za-z]{2,})|(?P<y>[0-9]{4})")
+
+
+def _named_day(value: str) -> tuple[dt.date | None, dict[str, re.Match]]:
+    """The date that a day with the name of its month says, and where its parts stand."""
+    parts = {k: m for m in _NAMED_DAY.finditer(value) for k in ("d", "m", "y") if m[k]}
+    month = [x[:3].upper() for x in MONTHS].index(parts["m"][0][:3].upper()) + 1
+    try:
+        day = dt.date(int(parts["y"][0]), month, int(parts["d"]["d"]))
+    except ValueError:
+        return None, parts
+    return day if parts["d"]["th"] in (None, _ordinal(day.day)) else None, parts
+
+
+def _rename_day(value: str, day: dt.date) -> str:
+    """``value`` with its parts replaced by those of ``day``, written as they were."""
+    _, parts = _named_day(value)
+    old_day, old_month = parts["d"], parts["m"][0]
+    month = MONTHS[day.month - 1] if len(old_month) > 3 or old_month.upper() == "MAY" else MONTHS[day.month - 1][:3]
+    number = f"{day.day:02d}" if old_day["d"][0] == "0" else str(day.day)
+    new = {
+        "d": number + (_ordinal(day.day) if old_day["th"] else ""), "m": month.upper() if old_month.isupper() else month, "y": f"{day.year:04d}",
+    }
+    out, at = [], 0
+    for k, m in sorted(parts.items(), key=lambda p: p[1].start()):
+        out += [value[at : m.start()], new[k]]
+        at = m.end()
+    return "".join([*out, value[at:]])
+
+
 def _refill(pattern: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isalnum() else c for c in pattern)
@@ -126,6 +205,15 @@ def valid(kind: str, value: str) -> bool:
         return 15 <= len(bare) <= 34 and _mod97(bare[4:] + bare[:4]) == 1
     if kind == "ip":
         return all(int(p) < 256 and str(int(p)) == p for p in value.split("."))
+    if kind == "ipv6":
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return False
+        return sum(map(bool, value.split(":"))) > 2 and bool(digits)
+    if kind == "day":
+        day = _named_day(value)[0]
+        return day is not None and 0 <= day.toordinal() - _DAY0 < _DAYS
     if kind == "ssn":
         a, b, c = value.split("-")
         return a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
@@ -144,7 +232,7 @@ def _north_american(code: str, digits: str) -> bool:
     return code in ("", "+1") and len(digits) == 10 and digits[0] > "1" and digits[3] > "1"
 
 
-def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> str:
+def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str:
     """The pseudonym of a valid value, or with ``back`` the value of a pseudonym."""
     digits = "".join(c for c in value if c.isalnum())
     if kind == "card":
@@ -159,6 +247,12 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
             x = x << 8 | int(part)
         x = permute(1 << 32, x, key, "ip", back)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ipv6":
+        new = str(ipaddress.IPv6Address(permute(1 << 128, int(ipaddress.IPv6Address(value)), key, "ipv6", back)))
+        return new.upper() if value.upper() == value != value.lower() else new
+    if kind == "day":
+        day = permute(_DAYS, _named_day(value)[0].toordinal() - _DAY0, key, "date", back)
+        return _rename_day(value, dt.date.fromordinal(_DAY0 + day))
     if kind == "date":
         form = _DATES[next(c for c in value if c in _DATES)]
         day = dt.datetime.strptime(value, form).toordinal() - _DAY0
@@ -187,9 +281,30 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
     return mark[0] + permute_format(value[mark.end() :], key, "secret", back)
 
 
+def _longest_card(text: str, start: int, end: int) -> int:
+    """As ``_longest`` for the card digits in [start, end): sums with every other digit doubled, from the first or the second on, check all lengths at once."""
+    sums, digits, best = [0, 0], 0, 0
+    first, other = text[start], False
+    for at in range(start, end):
+        if not "0" <= (c := text[at]) <= "9":
+            continue
+        digits += 1
+        other = other or c != first
+        x = int(c)
+        twice = 2 * x - 9 * (x > 4)
+        sums[digits % 2] += twice
+        sums[1 - digits % 2] += x
+        # the last digit counts once: the sum in which it was not doubled
+        if digits > 12 and other and (at + 1 == end or not text[at + 1].isalnum()) and sums[1 - digits % 2] % 10 == 0:
+            best = at + 1
+    return best
+
+
 def _longest(kind: str, text: str, start: int) -> int:
     """End of the longest valid value of a kind that begins at ``start`` and ends with one of its groups; 0 if there is none."""
     m = _EACH[kind].match(text, start)
+    if m and kind == "card":
+        return _longest_card(text, start, m.end())
     if not m or valid(kind, m[0]):
         return m.end() if m else 0
     for end in range(m.end() - 1, start, -1) if kind in GROUPED else ():
@@ -229,7 +344,7 @@ def find(text: str) -> Iterator[tuple[int, int, str]]:
             at = start + 1
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and where they stand in it."""
     if not _GATE.search(text):
         return text, []
@@ -258,13 +373,15 @@ def _replace(key: bytes):
     return run
 
 
-def feistel_pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Rows (doc_id, text, n_found, spans), one for each row of ``docs``.
+def feistel_pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
+    """Rows (doc_id, text, n_found, spans), one for each row of ``docs``. An empty ``key`` is an error.
 
     ``text`` is the whole text with each value replaced, ``spans`` tells where in it (code
     points) and of which kind. Null texts stay null; texts without such values stay as they
     are; other columns are not read; an empty table gives no rows.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _replace(key), "doc_id long, text string, n_found long, spans array<struct<start:long,end:long,kind:string>>"
     )

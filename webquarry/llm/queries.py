@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.feistel_pseudonyms(table(ship(spark), sf_dir, "documents"))
+    return pii.feistel_pseudonyms(table(ship(spark), sf_dir, "documents"), pii.key_of(spark))
 
 
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
