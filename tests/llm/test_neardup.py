@@ -59,6 +59,21 @@ def test_matches_brute_force(spark, documents, k, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_large_groups_are_settled_by_their_parents(spark, documents, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_NODES", 16)
+    labels, written = [], N.C.written
+    monkeypatch.setattr(N.C, "written", lambda df, label: labels.append(label) or written(df, label))
+    base = passage(5, 200).split()
+    copies = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(100)]  # each 0.9 like the others
+    chain = [(1000 + 2 * i, " ".join(passage(60, 400).split()[8 * i : 8 * i + 100])) for i in range(30)]  # each like its neighbours only
+    other = [(2000 + i, " ".join(passage(60, 400).split()[: 60 + i])) for i in range(20)]
+    for rows, settled in ((copies, True), (copies + chain + other, False)):
+        labels.clear()
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(documents([(i, t, "s") for i, t in rows])).collect()}
+        assert got == {i: c for i, (_, c, _) in brute(rows, 5, 80).items()}
+        assert "groups" in labels and not (settled and "blocks" in labels)
+
+
 def test_nulls_repeats_and_empty_tables(spark, documents):
     assert N.near_duplicates(documents([])).count() == 0
     rows = [(None, passage(1, 50), "a"), (1, passage(1, 50), None), (1, passage(1, 50), "a"), (2, passage(1, 50), "b")]

@@ -5,10 +5,14 @@ of ``t`` coordinates: in round i < t every element falls into a hashed bin with
 value, and in round t + j all elements fall into bin j, so that every bin is filled; a bin
 keeps its smallest (round, value), and the rounds end once all bins are full. Bands of
 ``rows`` coordinates make candidates. Equal sets are one node before banding, so groups of
-exact copies cost one row each. Candidates that share a band are joined to the band's
-smallest node (never all pairs), the components of these links are cut into blocks, and
-each pair of blocks is compared on whole sets inside one bounded task that returns a
-spanning forest of the true links. Similarity counts exactly: ``100 * inter >= percent * union``.
+exact copies cost one row each. A node's candidates are the smallest nodes of its bands
+(never all pairs); the smallest of these is its parent, and the components are found among
+the band heads alone. A component that fits into a block is compared on whole sets inside one
+task. A larger one is first compared in blocks of nodes of one parent, each block with the
+parent, which settles groups of near copies in time linear in them. Only where several
+classes are left are blocks compared in pairs, and the blocks of the largest class only with
+the others. Each task returns a spanning forest of the true links. Similarity counts
+exactly: ``100 * inter >= percent * union``.
 """
 
 from __future__ import annotations
@@ -110,16 +114,19 @@ def _signatures(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.HashedWords()
+        words, last = C.HashedWords(), None
         for batch in C.slices(batches):
             keep, data = [], []
-            for i, (text, key) in enumerate(zip(C.text_bytes(batch.column(4)), batch.column(5).to_pylist())):
+            for i, (node, text, key) in enumerate(zip(batch.column(0).to_pylist(), C.text_bytes(batch.column(3)), batch.column(4).to_pylist())):
+                if node == last:  # repeated rows stand together behind a merge
+                    continue
                 items = shingle_set(text, k, words)
                 if set_key(items) == key:
                     keep.append(i)
                     data.append(items.tobytes())
-            rest = batch.select([0, 1, 2, 3]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(data, pa.binary())], names=["node", "comp", "blocks", "block", "items"])
+                    last = node
+            rest = batch.select([0, 1, 2]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(data, pa.binary())], names=["node", "comp", "parent", "items"])
 
     return run
 
@@ -173,20 +180,20 @@ def _forest(pairs: Iterator[tuple[int, int]], n: int) -> list[int]:
 
 
 def _verify(percent: int):
-    names = ["a", "b", "blocks"]
+    names = ["a", "b"]
 
     def group(rows: list[tuple]) -> list[tuple]:
         rows = list({r[0]: r for r in sorted(rows, key=lambda r: r[0])}.values())  # repeated rows are one node
-        sets = [np.frombuffer(r[4], _U) for r in rows]
+        sets = [np.frombuffer(r[1], _U) for r in rows]
         roots = _forest(similar_pairs(sets, percent), len(rows))
-        return [(rows[i][0], rows[j][0], rows[i][2]) for i, j in enumerate(roots) if i != j]
+        return [(rows[i][0], rows[j][0]) for i, j in enumerate(roots) if i != j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
         for batch in C.slices(batches, 64):
-            columns = [batch.column(n).to_pylist() for n in ("node", "comp", "blocks", "lo", "items", "hi")]
+            columns = [batch.column(n).to_pylist() for n in ("node", "items", "comp", "lo", "hi")]
             for row in zip(*columns):
-                if (new := (row[1], row[3], row[5])) != key:
+                if (new := row[2:]) != key:
                     out += group(rows)
                     key, rows = new, []
                 rows.append(row)
@@ -199,6 +206,50 @@ def _verify(percent: int):
     return run
 
 
+def _verified(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside each group (comp, lo, hi) of rows (node, items, comp, lo, hi): a forest of the true ones."""
+    parts = C.partitions(dealt.sparkSession)
+    rows = dealt.select("node", "items", *[F.col(c).cast("long").alias(c) for c in ("comp", "lo", "hi")])
+    links = rows.repartition(parts, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(_verify(percent), "a long, b long")
+    return C.written(links, "links")
+
+
+def _blocks(n: str = "n") -> F.Column:
+    """Blocks that some nodes with ``n`` elements each fill."""
+    return F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(n) / BLOCK_ELEMENTS)).cast("long")
+
+
+def _large_components(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, comp): the classes of true links of rows (node, comp, parent, items) whose components fill more than a block."""
+    near = sets.select("node", "comp", "parent").join(nodes, "node")
+    groups = C.written(near.groupBy("parent").agg(_blocks().alias("blocks")), "groups")
+    with_parent = sets.join(groups, "parent").select(
+        "node", "items", F.col("parent").alias("comp"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("lo"), F.lit(0).alias("hi")
+    )
+    parents = sets.join(groups.withColumnRenamed("parent", "head"), F.col("node") == F.col("head")).select(
+        "node", "items", F.col("head").alias("comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("lo"), F.lit(0).alias("hi")
+    )
+    links = _verified(with_parent.union(parents), percent)
+    classes = C.connected_components(links).withColumnRenamed("comp", "class")
+    known = C.written(near.join(classes, "node", "left").select("node", "comp", "n", F.coalesce("class", "node").alias("class")), "classes")
+    each = known.groupBy("comp", "class").agg(F.count("*").alias("size"))
+    largest = each.groupBy("comp").agg(F.max(F.struct("size", F.negative("class").alias("class"))).alias("x"), F.count("*").alias("classes"))
+    largest = C.written(largest.filter("classes > 1").select("comp", F.negative("x.class").alias("largest")), "unsettled")
+    if largest.isEmpty():
+        return classes.withColumnRenamed("class", "comp")
+    left = known.join(largest, "comp").withColumn("large", F.col("class") == F.col("largest"))
+    count = left.groupBy("comp", "large").agg(_blocks().alias("blocks")).groupBy("comp").agg(
+        F.max(F.when(F.col("large"), F.col("blocks"))).alias("l"), F.max(F.when(~F.col("large"), F.col("blocks"))).alias("s")
+    )
+    left = left.join(C.written(count, "blocks"), "comp").select("node", "large", "l", "s")
+    # the blocks of the largest class come first, and meet all others but each other
+    block = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("l"))).otherwise(F.col("l") + F.pmod(F.xxhash64("node"), F.col("s")))
+    dealt = sets.join(left, "node").withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("large"), F.col("l")).otherwise(F.lit(0).cast("long")), F.col("l") + F.col("s") - 1)))
+    dealt = dealt.select("node", "items", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return C.connected_components(links.union(_verified(dealt, percent)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -219,31 +270,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
     nodes = C.written(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last")
-    links = banded.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = C.written(C.connected_components(links), "candidates")
-    near = near.join(nodes.select("node", "n", "set_key"), "node")
-    sizes = near.groupBy("comp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("long").alias("blocks")
-    )
-    near = near.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    sets = near.join(given, F.col("node") == F.col("doc_id")).select("node", "comp", "blocks", "block", "text", "set_key")
-    sets = sets.mapInArrow(_sets(k), "node long, comp long, blocks long, block long, items binary")
-    # block i meets each block j once, as (smaller, larger)
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "node", "comp", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "items"
-    )
-    parts = C.partitions(docs.sparkSession)
-    found = C.written(
-        dealt.repartition(parts, "comp", "lo", "hi")
-        .sortWithinPartitions("comp", "lo", "hi")
-        .mapInArrow(_verify(percent), "a long, b long, blocks long"),
-        "links",
+    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("band", "head")
+    heads = C.written(heads, "heads")  # a table, so that Spark can split a band that many nodes have
+    # at most BANDS heads of a node
+    near = banded.join(heads, "band").groupBy("node").agg(F.collect_set("head").alias("heads"))
+    near = C.written(near.select("node", "heads", F.array_min("heads").alias("parent")), "candidates")
+    tops = C.connected_components(near.select(F.explode("heads").alias("a"), F.col("parent").alias("b")))
+    tops = C.written(tops.select(F.col("node").alias("top"), "comp"), "tops")
+    near = near.join(tops, F.col("parent") == F.col("top"), "left").select("node", F.coalesce("comp", "parent").alias("comp"), "parent")
+    sets = near.join(nodes.select("node", "set_key"), "node").join(given, F.col("node") == F.col("doc_id")).select("node", "comp", "parent", "text", "set_key")
+    sets = C.written(sets.mapInArrow(_sets(k), "node long, comp long, parent long, items binary"), "sets")
+    sizes = near.join(nodes.select("node", "n"), "node").groupBy("comp").agg(_blocks().alias("blocks"))
+    large = C.written(sizes.filter("blocks > 1").select(F.col("comp").alias("big")), "large")
+    found = _verified(
+        sets.join(large, F.col("comp") == F.col("big"), "left_anti").select("node", "items", "comp", F.lit(0).alias("lo"), F.lit(0).alias("hi")), percent
     )
-    whole = found.filter("blocks = 1").select(F.col("a").alias("node"), F.col("b").alias("comp"))  # complete within a task
-    parted = found.filter("blocks > 1")
-    labels = whole if parted.isEmpty() else whole.union(C.connected_components(parted))
+    labels = found.select(F.col("a").alias("node"), F.col("b").alias("comp"))  # complete within a task
+    if not large.isEmpty():
+        some = sets.join(large, F.col("comp") == F.col("big"), "left_semi")
+        labels = labels.union(_large_components(some, nodes.select("node", "n"), percent))
     reps = nodes.select("set_key", "node").join(labels.filter("node <> comp"), "node", "left")
     reps = reps.select(F.col("set_key").alias("key"), F.coalesce("comp", "node").alias("component"))
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
