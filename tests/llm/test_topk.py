@@ -71,3 +71,30 @@ def test_elimination_skips_far_clusters():
     best, evaluated = block.top(0, rows[0], K._distances(rows[:1], pivots)[0], -np.inf)
     assert evaluated < 2000
     assert [b[1] for b in best] == [i for _, i in sorted((-int(rows[i] @ rows[0]), i) for i in range(1, 4000))[:20]]
+
+
+def test_cells_that_cannot_rank_are_not_met(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 100)
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.eye(12)[i % 12] * 9 + rng.normal(0, 0.05, 12)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    met, written = [], K.C.written
+
+    def spy(frame, label):
+        out = written(frame, label)
+        if label == "queries":
+            met.append(out.selectExpr("sum(size(cells)) AS n").first().n / out.count())
+        return out
+
+    monkeypatch.setattr(K.C, "written", spy)
+    got = as_lists(K.top_k(df, df.filter("vec_id % 20 = 0"), 20))
+    assert got == brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    assert met[0] <= 4  # of 24 cells
+
+
+def test_queries_that_are_no_candidates(spark):
+    df = spark.createDataFrame([(i, [0.1 * i, 1.0], 1) for i in range(50)], SCHEMA)
+    asked = spark.createDataFrame([(1000, [0.5, -0.5, 2.0], 1)], SCHEMA)
+    got = as_lists(K.top_k(df, asked, 3))
+    assert list(got) == [1000] and [i for i, _ in got[1000]] == [49, 48, 47]
+    assert K.top_k(df.limit(0), asked, 3).count() == 0

@@ -3,22 +3,33 @@
 Vectors become integers, floor(64 x). Pivots come from a bounded sample of the rows. The
 table of distances to the pivots bounds each distance from below by the largest
 |d(q, p) - d(c, p)|, hence each inner product (|q|^2 + |c|^2 - d^2) / 2 from above.
-Candidates are evaluated in the order of that bound until the k-th best score exceeds the
-next bound, so results are exact. Queries meet all rows in blocks: a row goes to one block
-of candidates, a query to each of them, and a block returns at most k rows for a query.
-Equal vectors are evaluated once, as only the smallest ids of them can rank.
+
+Elimination works twice. Rows are dealt into cells by the nearest of some centres, and a
+small table has the range of each cell's distances to its centre and to the pivots: a query
+goes only to the cells whose best possible score reaches the query's floor, its k-th best
+score in the sample. Inside a cell, candidates are evaluated in the order of their bound,
+in growing steps (640, then four times as many as before; the whole block once more than a
+quarter of it is left), until the k-th best score exceeds the next bound. Results are
+exact. Large cells are parted into blocks, and many queries of a cell too: a block meets a
+part of the queries in one task and returns at most k rows for a query. Equal vectors are
+evaluated once, as only the smallest ids of them can rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 PIVOTS, SAMPLE = 32, 1024
+#: Cells at most, the first of whose centres are the pivots.
+CELLS = 256
 #: Rows of a block of candidates and of a block of queries.
 BLOCK, QUERY_BLOCK = 8192, 4096
 SCALE = 64
@@ -120,22 +131,76 @@ class Block:
         return best, done
 
 
-def _search(pivots: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int):
+def _wide(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def _cells(points: np.ndarray, cells: int):
+    """Adds to rows (id, v) their cell, squared length and distances to the pivots and to the cell's centre; ``points`` are pivots and centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, 2048):
+            v = batch.column(1).to_pylist()
+            rows = _matrix(v, width := max([points.shape[1], *map(len, v)]))
+            d = _distances(rows, _wide(points, width))
+            cell = d[:, :cells].argmin(axis=1)
+            near = np.column_stack([d[:, :PIVOTS], d[np.arange(len(d)), cell]])
+            arrays = [pa.array(cell, pa.int64()), pa.array((rows * rows).sum(1), pa.float64()), pa.array(list(near), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "v", "cell", "square", "d"])
+
+    return run
+
+
+class Ranges:
+    """What is known of the cells: rows (cell, square, low, high), the largest squared length and the least and largest distances to the pivots and to the centre."""
+
+    def __init__(self, rows: list, points: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int):
+        self.cells, self.square = np.array([r.cell for r in rows], int), np.array([r.square for r in rows])
+        self.low, self.high = np.array([r.low for r in rows]), np.array([r.high for r in rows])
+        self.points, self.sample, self.sample_ids, self.k = points, sample, sample_ids, k
+        self.largest = float(np.abs(sample).max(initial=0))
+
+    def floor(self, query: int, q: np.ndarray, sample: np.ndarray) -> float:
+        """The k-th best score among the sample's rows but the query's own, as they are candidates too."""
+        others = exact_products(sample, q, self.largest)[self.sample_ids != query]
+        if len(others) < self.k:
+            return -np.inf
+        floor = float(np.partition(others.astype(float), len(others) - self.k)[len(others) - self.k])
+        return floor - abs(floor) * 1e-12
+
+    def reached(self, q: np.ndarray, to_points: np.ndarray, floor: float) -> list[int]:
+        """The cells in which a row could score ``floor`` or more."""
+        if not len(self.cells):
+            return []
+        pivots = to_points[:PIVOTS]
+        apart = np.column_stack([np.broadcast_to(pivots, (len(self.cells), len(pivots))), to_points[self.cells]])
+        low = np.maximum(np.maximum(apart - self.high, self.low - apart).max(axis=1), 0)
+        square = float((q * q).sum())
+        # rounding: distances near zero carry the root of the squares' rounding
+        bound = (square + self.square - low**2) / 2 + 1e-6 * (square + self.square + float(to_points.max()) ** 2 + 1)
+        return self.cells[bound >= floor].tolist()
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries (id, v) with their floor and the cells that they must meet."""
+        for batch in C.slices(batches, 1024):
+            v = batch.column(1).to_pylist()
+            rows = _matrix(v, width := max([self.points.shape[1], *map(len, v)]))
+            d, sample = _distances(rows, _wide(self.points, width)), _wide(self.sample, width)
+            floors = [self.floor(i, q, sample) for i, q in zip(batch.column(0).to_pylist(), rows)]
+            cells = [self.reached(q, x, f) for q, x, f in zip(rows, d, floors)]
+            arrays = [pa.array(floors, pa.float64()), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["id", "v", "floor", "cells"])
+
+
+def _search(pivots: np.ndarray, k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        widths = [len(v) for v in [*queries["v"], *rows["v"]]] + [pivots.shape[1]]
-        width = max(widths)
-        wide = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        p, known = wide(pivots), wide(sample)
-        queries = queries.drop_duplicates("id")
-        ids, q = queries["id"].to_numpy(np.int64), _matrix(queries["v"], width)
-        to_pivots, largest, out = _distances(q, p), float(np.abs(known).max(initial=0)), []
+        width = max([len(v) for v in [*queries["v"], *rows["v"]]] + [pivots.shape[1]])
+        p = _wide(pivots, width)
+        ids, q, out = queries["id"].to_numpy(np.int64), _matrix(queries["v"], width), []
+        to_pivots = _distances(q, p)
         block = Block(rows["id"].to_numpy(np.int64), _matrix(rows["v"], width), p, k)
         for i, x in enumerate(ids):
-            others = exact_products(known, q[i], largest)[sample_ids != x]
-            # the sample's rows are candidates too: the k-th best of them is a floor
-            floor = float(np.partition(others.astype(float), len(others) - k)[len(others) - k]) if len(others) >= k else -np.inf
-            floor -= abs(floor) * 1e-12
-            out += [(int(x), b, s) for s, b in block.top(int(x), q[i], to_pivots[i], floor)[0]]
+            out += [(int(x), b, s) for s, b in block.top(int(x), q[i], to_pivots[i], float(queries["floor"].iloc[i]))[0]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -149,25 +214,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     vectors count as filled up with zeros. Products beyond the range of a long are an error.
     Tables with fewer candidates return all of them; empty ones no rows.
     """
-    spark = vectors.sparkSession
     once = lambda df: quantised(df, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    rows, asked = once(vectors), once(queries)
-    rows, asked = C.written(rows, "vectors"), C.written(asked, "queries")
-    n, m = rows.count(), asked.count()
+    rows, asked = C.written(once(vectors), "vectors"), once(queries)
+    n = rows.count()
     # bounded: SAMPLE rows, whatever the table's size
     some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    width = max((len(r.v) for r in some), default=0)
-    sample = _matrix([r.v for r in some], width)
-    pivots = choose_pivots(sample)
-    cells, groups = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    cell = F.pmod(F.xxhash64("id"), F.lit(cells))
-    group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))
-    dealt_rows = rows.select("id", "v", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    dealt_asked = asked.select("id", "v", group.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    found = (
-        dealt_asked.groupBy(F.col("cell").cast("long"), F.col("part").cast("long"))
-        .cogroup(dealt_rows.groupBy(F.col("cell").cast("long"), F.col("part").cast("long")))
-        .applyInPandas(_search(pivots, np.array([r.id for r in some], np.int64), sample, k), "query_id long, vec_id long, score long")
+    sample = _matrix([r.v for r in some], max((len(r.v) for r in some), default=0))
+    sample_ids = np.array([r.id for r in some], np.int64)
+    cells = max(1, min(CELLS, 2 * n // BLOCK))
+    points = choose_pivots(sample, max(PIVOTS, cells))  # each farthest from those before: the first ones are pivots, and centres
+    celled = rows.mapInArrow(_cells(points, cells), "id long, v array<double>, cell long, square double, d array<double>")
+    celled = C.written(celled, "cells")
+    each = [F.col("d")[j] for j in range(min(PIVOTS, len(points)) + 1)]
+    known = celled.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("square").alias("square"), F.array(*map(F.min, each)).alias("low"), F.array(*map(F.max, each)).alias("high")
+    ).collect()  # at most CELLS rows
+    asked = C.written(asked.mapInArrow(Ranges(known, points, sample, sample_ids, k), "id long, v array<double>, floor double, cells array<long>"), "queries")
+    going = dict(asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect())
+    # cells that no query must meet do not move; others are blocks times parts of their queries
+    plan = [(r.cell, -(-r.n // BLOCK), -(-going[r.cell] // QUERY_BLOCK)) for r in known if r.cell in going]
+    plan = F.broadcast(vectors.sparkSession.createDataFrame(plan, "cell long, blocks long, parts long"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt_rows = celled.join(plan, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), upto("parts").alias("part"))
+    dealt_asked = asked.withColumn("cell", F.explode("cells")).join(plan, "cell").select(
+        "id", "v", "floor", "cell", upto("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("part")
     )
+    key = ("cell", "block", "part")
+    found = dealt_asked.groupBy(*key).cogroup(dealt_rows.groupBy(*key)).applyInPandas(_search(points[:PIVOTS], k), "query_id long, vec_id long, score long")
     order = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
     return found.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
