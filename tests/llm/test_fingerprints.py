@@ -52,10 +52,11 @@ def test_an_edit_changes_few_chunks():
     assert G.likeness(G.fingerprint(b""), G.fingerprint(b"")) == 1.0 and G.likeness({}, a) == 0.0
 
 
-@pytest.mark.parametrize("size", [4000, 7])
-def test_matches_brute_force(spark, documents, monkeypatch, size):
+@pytest.mark.parametrize("size,first,scale", [(4000, 2000, 3), (7, 2000, 3), (2, 10, 3), (7, 2000, 2**57 + 1)])
+def test_matches_brute_force(spark, documents, monkeypatch, size, first, scale):
     monkeypatch.setattr(G, "RANGE_DOCS", size)
-    rows = [(i * 3, passage(i, 5 + i % 40) + "é" * (i % 3), "s") for i in range(90)]
+    monkeypatch.setattr(G, "FIRST_RANGES", first)
+    rows = [(i * scale if i < 60 else i * 3 - 1000, passage(i, 5 + i % 40) + "é" * (i % 3), "s") for i in range(90)]
     rows += [(500, None, "s"), (501, "", "s"), (502, "x", "s"), (503, passage(3, 9000), "s"), (504, passage(0, 5), "s")]
     random.Random(1).shuffle(rows)
     got = {r.doc_id: r for r in G.fingerprints(documents(rows, extra=True)).collect()}

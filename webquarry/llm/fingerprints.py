@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from . import common as C
 LEAST, NORMAL, MOST = 16, 64, 256
 #: Bits that must be zero before and after ``NORMAL`` bytes.
 HARD, EASY = np.uint32(0xFF000000), np.uint32(0xF0000000)
-#: Documents that stand in one range of ids, and how many ranges there are at most.
-RANGE_DOCS, MOST_RANGES = 4000, 20_000
+#: Documents that stand in one range of ids, how many ranges there are at most, and how many come out of the first look at the ids.
+RANGE_DOCS, MOST_RANGES, FIRST_RANGES = 4000, 20_000, 2000
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=2024) for b in range(256)], np.uint32)
 
@@ -129,28 +130,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     without id come last. A table of one row is its own next. An empty table gives no rows.
 
     The texts move once: ranges of ids are dealt out, each with a copy of the first document
-    of the next range.
+    of the next range. One look at the ids finds the ranges (a second one in tables of more
+    than ``FIRST_RANGES`` ranges): approximate quantiles are ids of the table, so that the
+    first documents are known with them. All rows of one id stand in one range.
     """
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    n = given.count()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_DOCS)))
+
+    def quantiles(n: int) -> F.Column:
+        parts = ", ".join(f"{i / n!r}D" for i in range(1, n))
+        return F.expr(f"percentile_approx(doc_id, array({parts}), {10 * n})")
+
+    seen = given.agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), quantiles(FIRST_RANGES).alias("q")).first()
+    ranges = max(1, min(MOST_RANGES, -(-seen.n // RANGE_DOCS)))
+    if ranges > FIRST_RANGES:
+        found = given.agg(quantiles(ranges).alias("q")).first().q
+    else:
+        found = [seen.q[i * FIRST_RANGES // ranges - 1] for i in range(1, ranges)] if seen.q else []
     # at most MOST_RANGES numbers
-    bounds = sorted(set(given.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 and n else []
-    edges = np.array(bounds, np.float64)
+    edges = np.array(sorted({x for x in found if x > seen.first}), np.int64)
 
     @F.pandas_udf("int")
     def span_of(ids):
-        return ids.astype("float64").map(lambda x: int(np.searchsorted(edges, x, "right"))).astype("int32")
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype("int32"))
 
-    dealt = given.withColumn("span", span_of("id") if bounds else F.lit(0))
-    heads = [(r.span, r.head) for r in dealt.select("span", "id").groupBy("span").agg(F.min("id").alias("head")).collect()]
-    heads.sort()  # one for each range
-    ahead = docs.sparkSession.createDataFrame(
-        [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)] or [(None, None)], "head long, previous int"
-    )
+    dealt = given.withColumn("span", span_of("id") if len(edges) else F.lit(0))
+    heads = [(0, seen.first), *enumerate(edges.tolist(), 1)]
+    if seen.low is not None and max(-seen.low, seen.high) >= 2**53:  # quantiles are doubles: these need not be ids of the table
+        heads = sorted((r.span, r.head) for r in dealt.select("span", "id").groupBy("span").agg(F.min("id").alias("head")).collect())
+    ahead = docs.sparkSession.createDataFrame([(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)], "head long, previous int")
     marked = dealt.join(F.broadcast(ahead), F.col("id") == F.col("head"), "left")
     places = F.when(F.col("previous").isNull(), F.array(F.struct(F.col("span").alias("span"), F.lit(False).alias("ahead")))).otherwise(
         F.array(F.struct(F.col("span").alias("span"), F.lit(False).alias("ahead")), F.struct(F.col("previous").alias("span"), F.lit(True).alias("ahead")))
