@@ -90,3 +90,15 @@ def test_rows_repeat_as_taken(spark, documents):
         if i is not None and i < 5000:
             assert seen.get(i, 0) == taken[i]
     assert seen[5000] == 1 and seen[5001] == 1
+
+
+def test_rows_without_id_are_taken_by_their_sources_ratio(spark, documents):
+    # weights 5, 2, 1 of 450 words: c stops at twice its size, the others share the rest
+    rows = [(i, "a " * 10, "a") for i in range(5)] + [(100 + i, "b " * 10, "b") for i in range(24)] + [(None, "null a", "a"), (None, "null b", "b"), (None, "", "b")]
+    sizes = {"a": 52, "b": 242}
+    want = levels(sizes)
+    assert want["a"] / sizes["a"] == 2 and 1 < want["b"] / sizes["b"] < 2
+    left = [r.text for r in M.mixed(documents(rows, extra=True)).collect() if r.doc_id is None]
+    assert sorted(left) == ["", "null a", "null a", "null b"]
+    low = [r.text for r in M.mixed(documents(rows), share=0.5).collect() if r.doc_id is None]
+    assert levels(sizes, share=0.5)["b"] < sizes["b"] and sorted(low) == ["", "null a"] * 1 + ["null a"] * (levels(sizes, share=0.5)["a"] >= 2 * sizes["a"])

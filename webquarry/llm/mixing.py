@@ -107,14 +107,8 @@ def _round(seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, copies, taken), one for each row of ``docs``.
-
-    ``size`` counts the words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0), ``copies`` is how
-    often the mix takes the document, ``taken = size * copies``. Documents without words are
-    taken zero times. Rows that repeat an id are documents of their own. Null ids and sources
-    take part (null sources are one source, the last). An empty table gives no rows.
-    """
+def _plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, source, size), and of each source (s, source_size, target, docs, source_n, x): ``x`` is how often it takes a document on average."""
     sized = C.written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -124,11 +118,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = targets(sums, weights, share, most).join(sums.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s")))
-    plan = C.written(
-        plan.select(F.col("source").alias("s"), "source_size", "target", "docs", F.xxhash64("source").alias("source_n")), "targets"
-    )  # a scan of known size: broadcast only if it is small
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("x", x)
+    # a scan of known size: broadcast only if it is small
+    return sized, C.written(plan.select(F.col("source").alias("s"), "source_size", "target", "docs", F.xxhash64("source").alias("source_n"), x.alias("x")), "targets")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, copies, taken), one for each row of ``docs``.
+
+    ``size`` counts the words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0), ``copies`` is how
+    often the mix takes the document, ``taken = size * copies``. Documents without words are
+    taken zero times. Rows that repeat an id are documents of their own. Null ids and sources
+    take part (null sources are one source, the last). An empty table gives no rows.
+    """
+    return _mix(*_plan(docs, weights, share, most), seed)
+
+
+def _mix(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    planned = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
     whole = F.floor(F.col("x") + EPS)
     planned = planned.select(
         "doc_id", "size", "source_n", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("x") - whole)).otherwise(0.0).alias("p"),
@@ -151,9 +158,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         level += 1
         todo = still.select("doc_id", "size", "source_n", "p", F.xxhash64("doc_id", "size", F.lit(seed + level)).alias("mix"))
         todo = todo.withColumn("block", F.pmod(F.xxhash64("mix"), F.lit(max(1, -(-most_open // FAN_IN)))))
-    out = done.join(plan.select("source_n", "source_size", "target"), "source_n")
-    x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.when(F.col("size") > 0, F.floor(x + EPS) + F.col("extra")).otherwise(0).cast("long")
+    out = done.join(plan.select("source_n", "source_size", "target", "x"), "source_n")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("x") + EPS) + F.col("extra")).otherwise(0).cast("long")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -164,8 +170,13 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     floor(x) times, where x is target over size of their source, as no id tells them apart.
     Of rows that repeat an id each is taken as often as the one of them that is taken most.
     """
-    taken = mix(docs, weights, share, most, seed).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    times = F.when(C.word_count(F.col("text").cast("string")) == 0, F.lit(1)).otherwise(F.coalesce(F.col("__copies"), F.lit(1))).cast("int")
+    sized, plan = _plan(docs, weights, share, most)
+    taken = _mix(sized, plan, seed).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    whole = plan.select(F.col("s").alias("__s"), F.floor(F.col("x") + EPS).alias("__whole"))
+    named = docs.filter("doc_id IS NOT NULL").join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"))
+    nameless = docs.filter("doc_id IS NULL").join(whole, F.col("source").cast("string").eqNullSafe(F.col("__s")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = named.select(*columns, F.col("__copies").alias("__n")).union(nameless.select(*columns, F.col("__whole").alias("__n")))
+    times = F.when(C.word_count(F.col("text").cast("string")) == 0, F.lit(1)).otherwise(F.col("__n")).cast("int")
     rows = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times)))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*columns)
