@@ -139,3 +139,42 @@ def test_streams_drop_known_urls(spark, tmp_path):
 def test_nodes(spark, pages):
     tags = [r.tag for r in html.html_nodes(pages.filter("page_id = -3")).orderBy("node").collect()]
     assert tags == ["html", "body", "h1", "section", "div", "h3", "span", "h2"]
+
+
+def test_deep_markup_and_pruned_digests():
+    from webquarry.sources import html as H
+
+    deep = "<form action='/x' id='contact'>" + "<div>" * 3000 + "<input name='a'>" + "</div>" * 3000 + "</form><p>after</p>"
+    got = H.digest(deep, "https://acme.io/")
+    assert got["forms"][0]["fields"] == ["a"] and got["forms"][0]["markup"].count("<div>") == 3000 and got["paragraphs"] == ["after"]
+    assert H.digest(deep, "https://acme.io/", frozenset({"paragraphs", "error"})) == {"paragraphs": ["after"], "error": None}
+    assert H.parse("<p a='1'>x<br>y</p>").children[0].markup() == '<p a="1">x<br/>y</p>'
+
+
+def test_sitemap_chains_of_any_depth(spark):
+    from webquarry.sources import sitemaps
+
+    body = lambda child: f"<sitemapindex><sitemap><loc>{child}</loc></sitemap></sitemapindex>"
+    rows = [("https://a.io/sitemap.xml", body("https://a.io/0.xml"))] + [(f"https://a.io/{i}.xml", body(f"https://a.io/{i + 1}.xml" if i < 59 else "https://a.io/page")) for i in range(60)]
+    got = sitemaps.walk(spark.createDataFrame([("a.io", "https://a.io")], "site string, root string"), spark.createDataFrame(rows, "url string, body string"))
+    assert [tuple(r) for r in got.collect()] == [("a.io", "https://a.io/page")]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from webquarry.session import shared_folder
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_literals_of_patterns():
+    from webquarry.functions.text import literal_of
+
+    assert literal_of(r"book\s+(an?\s+)?appointment") == ("appointment", False) and literal_of("accordion") == ("accordion", True)
+    assert literal_of(r"\$\d+") == ("$", False) and literal_of("a|b") == ("", False) and literal_of(r"we.{0,10}?hiring")[0] == "hiring"

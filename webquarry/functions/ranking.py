@@ -70,6 +70,11 @@ def content_score(kind: str, signals: dict[str, Column]) -> Column:
 
 def classify(url: Column, signals: dict[str, Column]) -> Column:
     """struct(type, confidence, url_score, content_score): URL and content weighed 0.6 to 0.4; a type beats the URL's only if it is above it."""
+    # the signals are bound once: each is looked through for every keyword
+    return let(F.struct(*[s.alias(n) for n, s in signals.items()]), lambda s: _classify(url, {n: s[n] for n in signals}))
+
+
+def _classify(url: Column, signals: dict[str, Column]) -> Column:
     contents = F.array(*[
         F.struct(F.lit(-i).alias("order"), F.lit(kind).alias("type"), content_score(kind, signals).alias("content")) for i, kind in enumerate(CONTENT_KEYWORDS)
     ])

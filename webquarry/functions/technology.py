@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from ..constants import (
     CHAT_SIGNATURES, CONTACT_FORM_WORDS, FEATURE_PATTERNS, FEATURES, FORM_INTENTS, SCRIPT_WORDS, SECTION_ID_PATTERNS, SOCIAL_WORDS,
     TEAM_PAGE_PATTERNS, TECHNOLOGIES,
 )
-from .text import has_any, matches
+from .text import has_any, let, matches
 
 
 def _found(html_lower: Column, category: str) -> Column:
@@ -22,11 +19,10 @@ def _found(html_lower: Column, category: str) -> Column:
 
 def technology(html: Column) -> Column:
     """struct(cms, analytics, widgets, booking): the first CMS, and all of the others in the order of the table."""
-    low = F.lower(html)
-    return F.struct(
+    return let(F.lower(html), lambda low: F.struct(
         F.coalesce(F.get(_found(low, "cms"), F.lit(0)), F.lit("")).alias("cms"),
         *[_found(low, c).alias(c) for c in ("analytics", "widgets", "booking")],
-    )
+    ))
 
 
 def technology_items(tech: Column) -> Column:
@@ -78,4 +74,4 @@ def form_flags(html: Column, d: Column) -> Column:
 
 
 def has_team_page(html: Column) -> Column:
-    return reduce(or_, [matches(F.lower(html), [f"(?U:{p})"]) for p in TEAM_PAGE_PATTERNS])
+    return matches(F.lower(html), TEAM_PAGE_PATTERNS, "dU")

@@ -29,9 +29,28 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def matches(c: Column, patterns) -> Column:
-    """Whether one of ``patterns`` occurs; ``.`` ends at a newline only, as with one pattern each."""
-    return c.rlike("(?d)" + "|".join(f"(?:{p})" for p in patterns))
+def literal_of(pattern: str) -> tuple[str, bool]:
+    """The longest text that every match of a pattern holds, and whether the pattern is nothing but it."""
+    from re import _parser
+
+    runs, run, plain = [], "", True
+    for op, arg in _parser.parse(pattern):
+        if op is _parser.LITERAL:
+            run += chr(arg)
+        else:
+            runs.append(run)
+            run, plain = "", False
+    return max([*runs, run], key=len), plain
+
+
+def matches(c: Column, patterns, flags: str = "d") -> Column:
+    """Whether one of ``patterns`` occurs; ``.`` ends at a newline only. What a pattern needs in any case is looked for first, as that is cheap."""
+    def one(p: str) -> Column:
+        need, plain = literal_of(p)
+        test = c.rlike(f"(?{flags}){p}")
+        return c.contains(need) if plain else c.contains(need) & test if need else test
+
+    return reduce(or_, map(one, patterns))
 
 
 def distinct_first(items: Column, key) -> Column:

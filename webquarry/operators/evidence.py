@@ -153,6 +153,13 @@ def _sourced(a: Column, url: Column, fields: tuple[str, ...]) -> Column:
     return F.transform(a, lambda x: F.struct(*[x[f].alias(f) for f in fields], url.alias("source")))
 
 
+#: What of a digest evidence reads.
+DIGEST = (
+    "title", "h1", "canonical", "meta_name", "meta_property", "logo_url", "links", "headings", "paragraphs", "lists", "tables", "cards", "forms", "jsonld", "strings", "text",
+    "raw_text", "footer_text", "footer_strings", "addresses",
+)
+
+
 def page_evidence(pages: DataFrame, compat: bool = False) -> DataFrame:
     """One row for each page that has markup: its key columns and the evidence struct ``e``.
 
@@ -160,7 +167,7 @@ def page_evidence(pages: DataFrame, compat: bool = False) -> DataFrame:
     be read has ``e.error``.
     """
     html, url, d = F.col("html"), F.col("url"), F.col("d")
-    parsed = with_digest(pages.filter("html IS NOT NULL AND html <> ''"))
+    parsed = with_digest(pages.filter("html IS NOT NULL AND html <> ''"), fields=DIGEST)
     e = F.struct(
         url.alias("url"), evidence_page_type(url, d["raw_text"]).alias("page_type"), title(d).alias("title"), meta(d, "title").alias("meta_title"),
         F.coalesce(d["title"], F.lit("")).alias("title_tag"), meta(d, "description").alias("meta_description"),

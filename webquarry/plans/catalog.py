@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import confidence, contacts, emails, jsonld, ranking, technology, urls
 from ..functions.text import strip
-from ..operators import analyze, business, evidence, merge, site
+from ..operators import analyze, business, evidence, site
 from ..session import ship
 from ..sources import sitemaps
 from ..sources.html import html_nodes, with_digest
@@ -38,8 +38,8 @@ def _bars(c: Column) -> Column:
     return F.array_join(c, "|")
 
 
-def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(_pages(spark, sf_dir))
+def _digest(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return with_digest(_pages(spark, sf_dir), fields=fields)
 
 
 # --- URLs ---------------------------------------------------------------------
@@ -118,30 +118,30 @@ def candidate_urls(spark, sf_dir):
 
 def page_title_lang(spark, sf_dir):
     d = F.col("d")
-    return _digest(spark, sf_dir).select("page_id", F.coalesce(d["title"], F.lit("")).alias("title"), evidence.title(d).alias("shown"), d["lang"].alias("lang"))
+    return _digest(spark, sf_dir, "title", "h1", "lang").select("page_id", F.coalesce(d["title"], F.lit("")).alias("title"), evidence.title(d).alias("shown"), d["lang"].alias("lang"))
 
 
 def page_headings(spark, sf_dir):
-    rows = _digest(spark, sf_dir).select("page_id", F.explode(evidence.headings(F.col("d"))).alias("h"))
+    rows = _digest(spark, sf_dir, "headings").select("page_id", F.explode(evidence.headings(F.col("d"))).alias("h"))
     return rows.select("page_id", F.col("h.level").cast("long").alias("level"), F.col("h.text").alias("text"))
 
 
 def page_paragraphs(spark, sf_dir):
-    rows = _digest(spark, sf_dir).select("page_id", F.posexplode(evidence.paragraphs(F.col("d"))).alias("nth", "text"))
+    rows = _digest(spark, sf_dir, "paragraphs").select("page_id", F.posexplode(evidence.paragraphs(F.col("d"))).alias("nth", "text"))
     return rows.select("page_id", F.col("nth").cast("long").alias("nth"), "text")
 
 
 def nav_links(spark, sf_dir):
-    return _digest(spark, sf_dir).select("page_id", _bars(evidence.navigation(F.col("d"))).alias("links"))
+    return _digest(spark, sf_dir, "links").select("page_id", _bars(evidence.navigation(F.col("d"))).alias("links"))
 
 
 def internal_links(spark, sf_dir):
-    return _digest(spark, sf_dir).select("page_id", _bars(evidence.internal_links(F.col("d"), F.col("url"))).alias("links"))
+    return _digest(spark, sf_dir, "links").select("page_id", _bars(evidence.internal_links(F.col("d"), F.col("url"))).alias("links"))
 
 
 def footer_text(spark, sf_dir):
     d = F.col("d")
-    return _digest(spark, sf_dir).select("page_id", F.substring(d["footer_text"], 1, 500).alias("footer"), evidence.copyright_notice(d).alias("copyright"))
+    return _digest(spark, sf_dir, "footer_text", "footer_strings").select("page_id", F.substring(d["footer_text"], 1, 500).alias("footer"), evidence.copyright_notice(d).alias("copyright"))
 
 
 def html_tree(spark, sf_dir):
@@ -235,7 +235,7 @@ def merge_scores(spark, sf_dir):
 
 
 def _paragraphs(spark, sf_dir):
-    rows = _digest(spark, sf_dir).select(urls.site_of(F.col("url")).alias("site"), "page_id", F.size("d.headings").alias("headings"), evidence.paragraphs(F.col("d")).alias("p"))
+    rows = _digest(spark, sf_dir, "headings", "paragraphs").select(urls.site_of(F.col("url")).alias("site"), "page_id", F.size("d.headings").alias("headings"), evidence.paragraphs(F.col("d")).alias("p"))
     return rows.select("site", "page_id", "headings", F.posexplode_outer("p").alias("nth", "text"))
 
 
@@ -247,14 +247,20 @@ def site_dedupe_paragraphs(spark, sf_dir):
 
 def site_content_rollup(spark, sf_dir):
     """Pages, headings and distinct paragraphs of each site."""
-    rows = _paragraphs(spark, sf_dir)
-    pages = _digest(spark, sf_dir).groupBy(urls.site_of(F.col("url")).alias("site")).agg(
-        F.count("*").alias("pages"), F.sum(F.size(evidence.headings(F.col("d")))).alias("headings"), F.sum(F.size(evidence.paragraphs(F.col("d")))).alias("paragraphs")
+    d = F.col("d")
+    rows = _digest(spark, sf_dir, "headings", "paragraphs").select(
+        urls.site_of(F.col("url")).alias("site"), F.size(evidence.headings(d)).alias("headings"), F.posexplode_outer(evidence.paragraphs(d)).alias("nth", "text")
+    )
+    # one parse and one shuffle of paragraphs: a page counts with its first row, a paragraph once for its key
+    first = F.coalesce("nth", F.lit(0)) == 0
+    keys = rows.groupBy("site", F.lower("text").alias("key")).agg(
+        F.count(F.when(first, True)).alias("pages"), F.sum(F.when(first, F.col("headings")).otherwise(0)).alias("headings"), F.count("text").alias("paragraphs"),
+        F.min(F.length("text")).alias("n"),
+    )
+    return keys.groupBy("site").agg(
+        F.sum("pages").alias("pages"), F.sum("headings").alias("headings"), F.sum("paragraphs").alias("paragraphs"), F.count("key").alias("kept"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("chars"),
     )
-    once = rows.filter("text IS NOT NULL").groupBy("site", F.lower("text").alias("key")).agg(F.min(F.length("text")).alias("n"))
-    once = once.groupBy("site").agg(F.count("*").alias("kept"), F.sum("n").cast("long").alias("chars"))
-    out = pages.join(once, "site", "left")
-    return out.select("site", "pages", "headings", "paragraphs", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
 def site_counters(spark, sf_dir):
@@ -268,36 +274,10 @@ def site_features_or(spark, sf_dir):
     return technology.aggregate_features(rows, ("site",))
 
 
-def site_contacts(spark, sf_dir):
-    rows = merge.ordered(business.page_business(_all_pages(spark, sf_dir)))
-    return merge.contacts(rows).select("site", "value", "type", "confidence", "source")
-
-
-def site_technology(spark, sf_dir):
-    rows = merge.ordered(business.page_business(_all_pages(spark, sf_dir)))
-    return merge.technology(rows).select("site", "cms", *[_bars(F.col(c)).alias(c) for c in ("analytics", "widgets", "booking")])
-
-
-def site_quality(spark, sf_dir):
-    return merge.quality(merge.ordered(business.page_business(_all_pages(spark, sf_dir))))
-
-
-def site_sources(spark, sf_dir):
-    rows = merge.sources(merge.ordered(business.page_business(_all_pages(spark, sf_dir))))
-    return rows.select("site", _bars(F.col("pages_crawled")).alias("pages"), F.size("data_sources.emails").cast("long").alias("with_emails"), F.size("data_sources.phones").cast("long").alias("with_phones"))
-
-
 def page_evidence(spark, sf_dir):
     return as_json(evidence.page_evidence(_all_pages(spark, sf_dir)))
 
 
-def page_evidence_counts(spark, sf_dir):
-    e = F.col("e")
-    counted = ("navigation_links", "headings", "paragraphs", "lists", "tables", "cards", "emails", "phones", "contact_forms", "schema_data", "scripts")
-    rows = evidence.page_evidence(_pages(spark, sf_dir))
-    return rows.select("page_id", e["page_type"].alias("page_type"), e["title"].alias("title"), *[F.size(e[n]).cast("long").alias(n) for n in counted])
-
-
 def page_business(spark, sf_dir):
     return as_json(business.page_business(_all_pages(spark, sf_dir)))
 
@@ -330,8 +310,7 @@ QUERIES = {
         url_canonical, url_strip_tracking, url_root_domain, url_same_domain, url_depth, url_slug, url_dedupe, url_validate, page_score, page_topk_per_site,
         page_type, classify_page, candidate_urls, page_title_lang, page_headings, page_paragraphs, nav_links, internal_links, footer_text, html_tree,
         email_extract, email_classify, email_verified, phone_extract, address_extract, social_links, tech_detect, feature_flags, jsonld_entities,
-        confidence_score, merge_scores, site_dedupe_paragraphs, site_content_rollup, site_counters, site_features_or, site_contacts, site_technology,
-        site_quality, site_sources, page_evidence, page_evidence_counts, page_business, site_evidence, site_selected, site_business, page_failures, sitemap_urls,
+        confidence_score, merge_scores, site_dedupe_paragraphs, site_content_rollup, site_counters, site_features_or, page_evidence, page_business, site_evidence, site_selected, site_business, page_failures, sitemap_urls,
     )
 }
 
@@ -451,6 +430,22 @@ def _content(kind: str) -> str:
 _TYPES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(K.CONTENT_KEYWORDS)) + ") AS c(ord, kind)"
 _CONTENT = "CASE kind " + " ".join(f"WHEN '{t}' THEN {_content(t)}" for t in K.CONTENT_KEYWORDS) + " END"
 
+_SCORED_PAGES = f"src AS (SELECT page_id AS rid, url FROM pages), {_scored('src').strip()}"
+
+
+def _classify_sql(src: str, before: str = "") -> str:
+    """Rows (rid, url, page_type, confidence, url_score, content_score) of ``src``, rows (rid, url, title, h1, meta_description, body_text)."""
+    return f"""
+      WITH {before} src AS ({src}), {_scored('src')},
+      each AS (SELECT rid, url, page_type, confidence, ord, kind, {_CONTENT} AS content FROM src JOIN scored USING (rid), {_TYPES}),
+      top AS (SELECT rid, any_value(url) AS url, any_value(page_type) AS page_type, any_value(confidence) AS u, max(content) FILTER (WHERE kind = page_type) AS own,
+          max(content * 0.4 + CASE WHEN kind = page_type THEN confidence * 0.6 ELSE 0 END) AS best,
+          arg_max(kind, (content * 0.4 + CASE WHEN kind = page_type THEN confidence * 0.6 ELSE 0 END) - ord * 1e-9) AS kind,
+          arg_max(content, (content * 0.4 + CASE WHEN kind = page_type THEN confidence * 0.6 ELSE 0 END) - ord * 1e-9) AS content FROM each GROUP BY rid),
+      fin AS (SELECT rid, url, u, CASE WHEN best > u THEN kind ELSE page_type END AS page_type, CASE WHEN best > u THEN content ELSE coalesce(own, 0) END AS c FROM top)
+      SELECT rid, url, page_type, round(least(0.99, u * 0.5 + c * 0.5), 6) AS confidence, round(u, 6) AS url_score, round(c, 6) AS content_score FROM fin"""
+
+
 ORACLE_SQL = {
     "url_canonical": f"SELECT id, 'https://' || lower({_part('f', 2)}) || {_no_slash(_path('f'))} AS canonical FROM (SELECT id, {_full('url')} AS f FROM ({_IDS}))",
     "url_strip_tracking": f"""
@@ -480,15 +475,8 @@ ORACLE_SQL = {
       WITH src AS (SELECT site, path, 'https://' || site || path AS url, 'https://' || site || path AS rid FROM (SELECT DISTINCT {_host('url')} AS site FROM pages), (SELECT path FROM {values(X.PATHS, 'path string')})), {_scored('src')}
       SELECT site, url, score, page_type, rank FROM (SELECT site, url, score, page_type, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS rank FROM src JOIN scored USING (rid) WHERE score > 0) WHERE rank <= 6""",
     "page_type": f"SELECT id, {_EVIDENCE_TYPE} AS page_type FROM ({_IDS})",
-    "classify_page": f"""
-      WITH src AS (SELECT pos AS rid, * FROM {values(X.SIGNALS, 'url string, title string, h1 string, meta_description string, body_text string')}), {_scored('src')},
-      each AS (SELECT rid, url, page_type, confidence, ord, kind, {_CONTENT} AS content FROM src JOIN scored USING (rid), {_TYPES}),
-      top AS (SELECT rid, any_value(url) AS url, any_value(page_type) AS page_type, any_value(confidence) AS u, max(content) FILTER (WHERE kind = page_type) AS own,
-          max(content * 0.4 + CASE WHEN kind = page_type THEN confidence * 0.6 ELSE 0 END) AS best,
-          arg_max(kind, (content * 0.4 + CASE WHEN kind = page_type THEN confidence * 0.6 ELSE 0 END) - ord * 1e-9) AS kind,
-          arg_max(content, (content * 0.4 + CASE WHEN kind = page_type THEN confidence * 0.6 ELSE 0 END) - ord * 1e-9) AS content FROM each GROUP BY rid),
-      fin AS (SELECT url, u, CASE WHEN best > u THEN kind ELSE page_type END AS page_type, CASE WHEN best > u THEN content ELSE coalesce(own, 0) END AS c FROM top)
-      SELECT url, page_type, round(least(0.99, u * 0.5 + c * 0.5), 6) AS confidence, round(u, 6) AS url_score, round(c, 6) AS content_score FROM fin""",
+    "classify_page": "SELECT url, page_type, confidence, url_score, content_score FROM ("
+    + _classify_sql(f"SELECT pos AS rid, * FROM {values(X.SIGNALS, 'url string, title string, h1 string, meta_description string, body_text string')}") + ")",
     "candidate_urls": f"""
       WITH RECURSIVE {_WALK}, f AS (SELECT {_full('url')} AS f FROM ({_IDS}))
       SELECT 'https://' || lower({_part('f', 2)}) || {_no_slash(_path('f'))} AS url FROM f UNION SELECT url FROM walked""",

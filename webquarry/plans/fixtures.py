@@ -76,6 +76,10 @@ PAGES = (
     (-3, "https://www.acme.io/team/jane-doe", """<html><body><h1>Jane Doe</h1><section class="team"><div class="member"><h3 class="name">Jane Doe</h3><span class="role">Founder</span></div></section><h2>About Jane</h2></body></html>"""),
     (-4, "https://beta.io/services", """<html><head><title>Beta - Services</title></head><body><div id="services"><h2>Roof repair</h2><ul><li>Tiles</li><li>Gutters and drains</li></ul></div><table><tr><th>Job</th><th>Price</th></tr><tr><td>Roof</td><td>$90</td></tr></table>
 <ol><li>Call</li><li>Pay</li></ol><script src="https://cdn.shopify.com/x.js"></script></body></html>"""),
+    (-5, "https://www.acme.io/about", """<html><head><title>About</title></head><body><h1>About Acme</h1><h2>Welcome to Acme</h2><h2>Our story</h2>
+<p>Acme has made tools for people who build things since nineteen ninety, in a small town by the sea.</p><p>In two thousand and four we moved into the old harbour hall, where all our tools are made to this day.</p>
+<div class="feature"><h3>Hammers</h3><p>All kinds of hammers.</p><a href="/hammers">More</a></div><div class="feature"><h3>Saws</h3><p>Sharp ones.</p></div>
+<a href="mailto:info@acme.io">Mail</a><a href="mailto:jobs@acme.io">Jobs</a></body></html>"""),
 )
 
 
@@ -92,3 +96,15 @@ def values(rows, columns: str) -> str:
     names = [c.split()[0] for c in columns.split(", ")]
     body = ", ".join("(" + ", ".join([str(i), *map(quote, r if isinstance(r, tuple) else (r,))]) + ")" for i, r in enumerate(rows))
     return f"(VALUES {body}) AS t(pos, {', '.join(names)})"
+
+
+def literals(rows) -> str:
+    """Rows of plain values as SQL, with the types that Spark gives them."""
+    def one(v) -> str:
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{v!r}::{'DOUBLE' if isinstance(v, float) else 'BIGINT'}"
+
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"

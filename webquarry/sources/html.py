@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -83,9 +84,17 @@ class Node:
         return False
 
     def markup(self) -> str:
-        attrs = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
-        inner = "".join(c if isinstance(c, str) else c.markup() for c in self.children)
-        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:  # trees may be deeper than the stack
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+                continue
+            out.append("".join([f"<{c.tag}", *(f' {k}="{v}"' for k, v in c.attrs.items()), "/>" if c.tag in VOID else ">"]))
+            if c.tag not in VOID:
+                todo += [f"</{c.tag}>", *reversed(c.children)]
+        return "".join(out)
 
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
@@ -218,7 +227,8 @@ def _services(nodes: list[Node]) -> tuple[list[str], list[str]]:
     return out, [n.raw() for n in nodes if n.tag in ("h2", "h3") and outside(n)]
 
 
-def digest(html: str, url: str) -> dict:
+def digest(html: str, url: str, fields: frozenset[str] | None = None) -> dict:
+    """The fields of a page, or those of them that are asked for."""
     root = parse(html)
     nodes = list(root.walk())
     by: dict[str, list[Node]] = {}
@@ -226,63 +236,79 @@ def digest(html: str, url: str) -> dict:
         by.setdefault(n.tag, []).append(n)
     get = lambda *tags: sorted((n for t in tags for n in by.get(t, ())), key=lambda n: n.order)
     one = lambda tag: (by.get(tag) or [None])[0]
-    title, h1, nav, footer, header, body = one("title"), one("h1"), one("nav"), one("footer"), one("header"), one("body")
-    meta: dict[str, dict[str, str]] = {"name": {}, "property": {}}
-    for m in get("meta"):
-        for kind, seen in meta.items():
+    title, h1, footer, body = one("title"), one("h1"), one("footer"), one("body")
+
+    def meta(kind: str) -> list:
+        seen: dict[str, str] = {}
+        for m in get("meta"):
             if kind in m.attrs:
                 seen.setdefault(m.attrs[kind], m.attrs.get("content", ""))
-    nav_at, footer_at = ({id(x) for x in n.walk()} if n else set() for n in (nav, footer))
-    links = [
-        {"href": a.attrs["href"], "resolved": _resolve(url, a.attrs["href"]), "text": a.text(), "in_nav": id(a) in nav_at, "in_footer": id(a) in footer_at}
-        for a in get("a") if "href" in a.attrs
-    ]
-    logo = header.first("img") if header else None
-    if not (logo and logo.attrs.get("src")):
-        logo = next((i for i in get("img") if "logo" in i.attrs.get("alt", "").lower()), None)
-    lists = [
-        {"type": t, "items": [c.text() for c in n.children if isinstance(c, Node) and c.tag == "li"]}
-        for t in ("ul", "ol") for n in get(t) if t == "ol" or not n.within("nav")
-    ]
-    tables = [
-        {"headers": [x.text() for x in t.all("th")], "rows": [r for r in ([c.text() for c in tr.all("td", "th")] for tr in t.all("tr")) if r]}
-        for t in get("table")
-    ]
-    cards = []
-    for n in get("div"):
-        if any(any(k in c.lower() for k in K.CARD_CLASSES) for c in n.classes()):
-            subtitle = n.first("h5") or next((x for x in n.walk() if x.tag in ("p", "span") and any("subtitle" in c.lower() for c in x.classes())), None)
-            head, p, img, a = n.first("h2", "h3", "h4"), n.first("p"), n.first("img"), n.first("a")
-            cards.append({
-                "title": head.text() if head else None, "subtitle": subtitle.text() if subtitle else None, "description": p.text() if p else None,
-                "image_url": _resolve(url, img.attrs["src"]) if img and img.attrs.get("src") else None,
-                "link_url": _resolve(url, a.attrs["href"]) if a and a.attrs.get("href") else None,
-            })
-    about = [n for n in nodes if _ABOUT.search(n.attrs.get("id", ""))] + [n for n in nodes if _has_class(n, _ABOUT)]
-    about_text = next((t for t in (p.text() for p in (n.first("p") for n in about) if p) if len(t) > 40), "")
-    services, headings = _services(nodes)
-    team = [n for n in nodes if _SECTION_TAG.search(n.tag) and _has_class(n, _TEAM)]
-    team += [n for n in nodes if _SECTION_TAG.search(n.tag) and _TEAM.search(n.attrs.get("id", ""))]
-    canonical = next((n for n in get("link") if "canonical" in n.attrs.get("rel", "").split()), None)
-    scripts = [("".join(c for c in s.children if isinstance(c, str)), s.attrs.get("type", "")) for s in get("script")]
-    marks = get("h1", "h2", "h3", "h4", "label", "legend")
+        return list(seen.items())
+
+    def links() -> list:
+        nav_at, footer_at = ({id(x) for x in n.walk()} if n else set() for n in (one("nav"), footer))
+        return [
+            {"href": a.attrs["href"], "resolved": _resolve(url, a.attrs["href"]), "text": a.text(), "in_nav": id(a) in nav_at, "in_footer": id(a) in footer_at}
+            for a in get("a") if "href" in a.attrs
+        ]
+
+    def logo() -> str:
+        img = one("header").first("img") if one("header") else None
+        if not (img and img.attrs.get("src")):
+            img = next((i for i in get("img") if "logo" in i.attrs.get("alt", "").lower()), None)
+        return _resolve(url, img.attrs["src"]) if img and img.attrs.get("src") else ""
+
+    def about() -> str:
+        found = [n for n in nodes if _ABOUT.search(n.attrs.get("id", ""))] + [n for n in nodes if _has_class(n, _ABOUT)]
+        return next((t for t in (p.text() for p in (n.first("p") for n in found) if p) if len(t) > 40), "")
+
+    def members() -> list:
+        team = [n for n in nodes if _SECTION_TAG.search(n.tag) and _has_class(n, _TEAM)]
+        team += [n for n in nodes if _SECTION_TAG.search(n.tag) and _TEAM.search(n.attrs.get("id", ""))]
+        return [m for s in team for m in _members(s, nodes)]
+
+    def canonical() -> str:
+        found = next((n for n in get("link") if "canonical" in n.attrs.get("rel", "").split()), None)
+        return found.attrs.get("href", "") if found else ""
+
+    script = lambda s: "".join(c for c in s.children if isinstance(c, str))
+    marks = lambda: get("h1", "h2", "h3", "h4", "label", "legend")
+    make = {
+        "title": lambda: title.text() if title else None, "h1": lambda: h1.text() if h1 else None,
+        "lang": lambda: (one("html").attrs.get("lang", "") if one("html") else "").strip(), "canonical": canonical, "meta_name": lambda: meta("name"),
+        "meta_property": lambda: meta("property"), "logo_url": logo, "links": links, "headings": lambda: [{"level": i, "text": n.text()} for i in range(1, 7) for n in by.get(f"h{i}", ())],
+        "paragraphs": lambda: [n.text() for n in by.get("p", ())],
+        "lists": lambda: [
+            {"type": t, "items": [c.text() for c in n.children if isinstance(c, Node) and c.tag == "li"]}
+            for t in ("ul", "ol") for n in get(t) if t == "ol" or not n.within("nav")
+        ],
+        "tables": lambda: [
+            {"headers": [x.text() for x in t.all("th")], "rows": [r for r in ([c.text() for c in tr.all("td", "th")] for tr in t.all("tr")) if r]}
+            for t in get("table")
+        ],
+        "cards": lambda: [_box(n, url) for n in islice((n for n in get("div") if any(any(k in c.lower() for k in K.CARD_CLASSES) for c in n.classes())), 30)],
+        "forms": lambda: [_form(f, url, marks()) for f in get("form")], "iframes": lambda: [i.attrs.get("src", "") for i in get("iframe")],
+        "jsonld": lambda: [script(s) for s in get("script") if s.attrs.get("type", "") == "application/ld+json"],
+        "script_text": lambda: " ".join(filter(None, map(script, get("script")))), "strings": lambda: [s.strip() for s in root.texts() if s.strip()],
+        "body_text": lambda: "".join(s.strip() for s in body.texts(HIDDEN_TEXT | {"nav"})) if body else "", "text": lambda: " ".join(root.texts()), "raw_text": root.raw,
+        "footer_text": lambda: footer.text() if footer else "", "footer_raw": lambda: footer.raw() if footer else "",
+        "footer_strings": lambda: [s.strip() for s in footer.texts() if s.strip()] if footer else [],
+        "addresses": lambda: [n.text() for n in get("address")], "address_lines": lambda: [" ".join(s.strip() for s in n.texts() if s.strip()) for n in get("address")],
+        "section_ids": lambda: [n.attrs["id"] for n in get("section", "div") if "id" in n.attrs], "place_texts": lambda: [n.raw() for n in nodes if _has_class(n, _PLACE)],
+        "about_text": about, "services": lambda: _services(nodes)[0], "service_headings": lambda: _services(nodes)[1], "members": members,
+        "linkedin_names": lambda: [a.text() for a in get("a") if _LINKEDIN.search(a.attrs.get("href", ""))], "error": lambda: None,
+    }
+    return {k: f() for k, f in make.items() if fields is None or k in fields}
+
+
+def _box(n: Node, url: str) -> dict:
+    """Title, subtitle, text, picture and link of a card."""
+    subtitle = n.first("h5") or next((x for x in n.walk() if x.tag in ("p", "span") and any("subtitle" in c.lower() for c in x.classes())), None)
+    head, p, img, a = n.first("h2", "h3", "h4"), n.first("p"), n.first("img"), n.first("a")
     return {
-        "title": title.text() if title else None, "h1": h1.text() if h1 else None, "lang": (one("html").attrs.get("lang", "") if one("html") else "").strip(),
-        "canonical": canonical.attrs.get("href", "") if canonical else "", "meta_name": list(meta["name"].items()), "meta_property": list(meta["property"].items()),
-        "logo_url": _resolve(url, logo.attrs["src"]) if logo and logo.attrs.get("src") else "", "links": links,
-        "headings": [{"level": i, "text": n.text()} for i in range(1, 7) for n in by.get(f"h{i}", ())],
-        "paragraphs": [n.text() for n in by.get("p", ())], "lists": lists, "tables": tables, "cards": cards[:30],
-        "forms": [_form(f, url, marks) for f in get("form")], "iframes": [i.attrs.get("src", "") for i in get("iframe")],
-        "jsonld": [s for s, kind in scripts if kind == "application/ld+json"], "script_text": " ".join(s for s, _ in scripts if s),
-        "strings": [s.strip() for s in root.texts() if s.strip()],
-        "body_text": "".join(s.strip() for s in body.texts(HIDDEN_TEXT | {"nav"})) if body else "", "text": " ".join(root.texts()), "raw_text": root.raw(),
-        "footer_text": footer.text() if footer else "", "footer_raw": footer.raw() if footer else "",
-        "footer_strings": [s.strip() for s in footer.texts() if s.strip()] if footer else [],
-        "addresses": [n.text() for n in get("address")], "address_lines": [" ".join(s.strip() for s in n.texts() if s.strip()) for n in get("address")],
-        "section_ids": [n.attrs["id"] for n in get("section", "div") if "id" in n.attrs],
-        "place_texts": [n.raw() for n in nodes if _has_class(n, _PLACE)], "about_text": about_text, "services": services, "service_headings": headings,
-        "members": [m for s in team for m in _members(s, nodes)], "linkedin_names": [a.text() for a in get("a") if _LINKEDIN.search(a.attrs.get("href", ""))],
-        "error": None,
+        "title": head.text() if head else None, "subtitle": subtitle.text() if subtitle else None, "description": p.text() if p else None,
+        "image_url": _resolve(url, img.attrs["src"]) if img and img.attrs.get("src") else None,
+        "link_url": _resolve(url, a.attrs["href"]) if a and a.attrs.get("href") else None,
     }
 
 
@@ -308,6 +334,8 @@ DIGEST = (
 
 
 def _digests(html_at: int, url_at: int, kind: pa.DataType, names: list[str]):
+    wanted = frozenset(f.name for f in kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -315,7 +343,7 @@ def _digests(html_at: int, url_at: int, kind: pa.DataType, names: list[str]):
                 out = []
                 for html, url in zip(batch.column(html_at).to_pylist(), batch.column(url_at).to_pylist()):
                     try:
-                        out.append(digest(html or "", url or ""))
+                        out.append(digest(html or "", url or "", wanted))
                     except Exception as e:  # a page never fails the job: it says why
                         out.append({"error": f"{type(e).__name__}: {e}"})
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=names)
@@ -323,22 +351,29 @@ def _digests(html_at: int, url_at: int, kind: pa.DataType, names: list[str]):
     return run
 
 
-def with_digest(pages: DataFrame, html: str = "html", url: str = "url", name: str = "d") -> DataFrame:
-    """``pages`` with the digest of each page: parsed once, whatever is selected from it later."""
-    schema = T.StructType([*pages.schema.fields, T.StructField(name, T._parse_datatype_string(DIGEST))])
+def with_digest(pages: DataFrame, html: str = "html", url: str = "url", name: str = "d", fields: tuple[str, ...] = ()) -> DataFrame:
+    """``pages`` with the digest of each page: parsed once, whatever is selected from it later. ``fields`` names what of it is made (and ``error``); by default all."""
+    whole = T._parse_datatype_string(DIGEST)
+    some = T.StructType([f for f in whole.fields if not fields or f.name in (*fields, "error")])
+    schema = T.StructType([*pages.schema.fields, T.StructField(name, some)])
     kind = to_arrow_type(schema[name].dataType)
     at = pages.columns.index
     return pages.mapInArrow(_digests(at(html), at(url), kind, [*pages.columns, name]), schema)
 
 
 def html_nodes(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """For a look at the tree: rows (key, node, parent, tag, id, class, text), one for each element."""
+    """For a look at the tree: rows (key, node, parent, tag, id, class, text), one for each element; ``text`` is the element's own. A page that cannot be parsed has no rows."""
+
+    def nodes(k, h: str) -> list[tuple]:
+        own = lambda n: "".join(c.strip() for c in n.children if isinstance(c, str))  # noqa: E731  texts of whole subtrees would be quadratic
+        try:
+            return [(k, n.order, n.parent.order, n.tag, n.attrs.get("id"), n.attrs.get("class"), own(n)) for n in parse(h).walk()]
+        except Exception:  # html_digest says why
+            return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(k, n.order, n.parent.order, n.tag, n.attrs.get("id"), n.attrs.get("class"), n.text()) for n in parse(h or "").walk()]
+        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
+            rows = [x for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in nodes(k, h or "")]
             if rows:
                 types = [batch.schema.field(0).type, pa.int32(), pa.int32(), *[pa.string()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[key, "node", "parent", "tag", "id", "class", "text"])

@@ -38,24 +38,24 @@ def probe_urls(root: Column) -> Column:
     return F.array(F.concat(bare, F.lit("/sitemap.xml")), F.concat(bare, F.lit("/sitemap_index.xml")))
 
 
-def walk(sites: DataFrame, fetched: DataFrame, rounds: int = 50) -> DataFrame:
+def walk(sites: DataFrame, fetched: DataFrame) -> DataFrame:
     """Rows (site, url): the pages of all sitemaps reachable from each site's probes.
 
     ``sites`` has (site, root), ``fetched`` (url, body). What ends in ``.xml`` is a sitemap,
     the rest are pages. Each round joins the sitemaps that are new to the edges and leaves
-    out those seen before, until none is new; ``rounds`` ends chains of endless indexes.
+    out those seen before, until none is new: as ``fetched`` is finite, chains of any depth end.
     """
     edges = fetched.filter(F.col("body").isNotNull()).select(F.col("url").alias("parent"), F.explode(sitemap_locations("body")).alias("child")).distinct()
     edges = written(edges, "sitemaps")
     front = sites.select("site", F.explode(probe_urls(F.col("root"))).alias("parent")).distinct()
     seen, pages = front, None
-    for _ in range(rounds):
+    while True:
         found = front.join(edges, "parent").select("site", "child").distinct()
         own = found.filter(~F.col("child").endswith(".xml")).select("site", F.col("child").alias("url"))
         pages = own if pages is None else pages.union(own).distinct()
         front = found.filter(F.col("child").endswith(".xml")).select("site", F.col("child").alias("parent")).join(seen, ["site", "parent"], "left_anti")
         front = written(front, "sitemaps")
+        pages = written(pages, "sitemaps")  # a long chain must not grow the plan
         if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return pages.distinct()
+            return pages
+        seen = written(seen.union(front), "sitemaps")
