@@ -48,14 +48,15 @@ def walk(sites: DataFrame, fetched: DataFrame) -> DataFrame:
     edges = fetched.filter(F.col("body").isNotNull()).select(F.col("url").alias("parent"), F.explode(sitemap_locations("body")).alias("child")).distinct()
     edges = written(edges, "sitemaps")
     front = sites.select("site", F.explode(probe_urls(F.col("root"))).alias("parent")).distinct()
-    seen, pages = front, None
+    seen, pages, rounds = front, None, 0
     while True:
         found = front.join(edges, "parent").select("site", "child").distinct()
         own = found.filter(~F.col("child").endswith(".xml")).select("site", F.col("child").alias("url"))
-        pages = own if pages is None else pages.union(own).distinct()
+        pages = own if pages is None else pages.union(own)
         front = found.filter(F.col("child").endswith(".xml")).select("site", F.col("child").alias("parent")).join(seen, ["site", "parent"], "left_anti")
         front = written(front, "sitemaps")
-        pages = written(pages, "sitemaps")  # a long chain must not grow the plan
         if front.isEmpty():
-            return pages
-        seen = written(seen.union(front), "sitemaps")
+            return pages.distinct()
+        seen, rounds = seen.union(front), rounds + 1
+        if rounds % 8 == 0:  # a long chain must not grow the plan
+            pages, seen = written(pages.distinct(), "sitemaps"), written(seen, "sitemaps")
