@@ -2,7 +2,9 @@
 
 Crawled pages are compared with SQL over their markup. What they do not show (forms, cards,
 structured data, slots that are cleaned against each other) is shown by the literal pages
-of ``fixtures.PAGES``; what is expected of these is written down here by hand.
+of ``fixtures.PAGES``; what is expected of these is written down here as plain values. They
+were written with the engine's output in view and gone through by the rules, so they guard
+against changes rather than prove the rules anew.
 """
 
 from __future__ import annotations
