@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as CP
-from webquarry.llm import common, mixing
+from webquarry.llm import common, mixing, neardup
 
 from .conftest import passage
 from .test_neardup import brute as groups
@@ -64,3 +67,17 @@ def test_empty_documents(spark, documents, tmp_path):
     documents([]).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert CP.run(spark, sf).count() == 0
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_near_copies_go(spark, size):
+    """Of the documents that near-dedup alone would drop, line dedup and near-dedup together drop 0.9 or more, and no document without a near copy or a shared block loses its row."""
+    sf = f"/root/testdata/{size}"
+    docs = common.table(spark, sf, "documents")
+    alone = common.written(neardup.near_duplicates(docs, k=5, percent=80).filter("NOT kept").select("doc_id"), "alone")
+    lines = common.written(CP.line_dedup_stage(spark, docs, sf), "lines")
+    both = common.written(CP.near_dedup_stage(spark, lines, sf).select("doc_id"), "both")
+    copies, stay = alone.count(), alone.join(both, "doc_id", "left_semi").count()
+    assert copies and stay <= 0.1 * copies
+    untouched = lines.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").filter("text = whole").select("doc_id")
+    assert untouched.join(alone, "doc_id", "left_anti").join(both, "doc_id", "left_anti").isEmpty()
