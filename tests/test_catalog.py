@@ -39,3 +39,16 @@ def test_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["site_business", "site_selected", "html_tree"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+#: Titles that end within a reference, as those cut to a length do.
+CUT = [(1, "https://a.io/x", "<html lang=\"en\"><head><title>Tools &amp; drills &amp</title></head><body><article><h1>Tools &amp; drills &amp</h1><p>One</p></article></body></html>")]
+
+
+@pytest.mark.parametrize("name", ["page_items"])
+def test_agrees_with_sql_on_cut_references(spark, tmp_path, name):
+    spark.createDataFrame(CUT, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).fetchdf()
+    assert plain(got) == plain(want) and "Tools & drills &amp" in got[got.page_id == 1].astype(str).to_numpy()

@@ -24,6 +24,13 @@ def test_text_has_no_separator():
     assert html.digest("<h1>Hello <b>World</b></h1><!-- x --><style>y</style>", "")["h1"] == "HelloWorld"
 
 
+def test_references_need_semicolons():
+    page = '<title>a &amp b &amp;&amp; c&amp</title><h1>x &copy y &copy; &ampz; &#169; R&D</h1><a href="/s?a=1&copy=2&amp;b&amp">l</a><script>"&amp;" && "&amp"</script><p>\x01&lt'
+    d = html.digest(page, "")
+    assert d["title"] == "a &amp b && c&amp" and d["h1"] == "x &copy y © &ampz; © R&D" and d["paragraphs"] == ["\x01&lt"]
+    assert d["links"][0]["href"] == "/s?a=1&copy=2&b&amp" and d["script_text"] == '"&amp;" && "&amp"'
+
+
 def test_forms_and_team():
     d = html.digest(X.PAGES[1][2], X.PAGES[1][1])
     assert d["forms"][0]["fields"] == ["email", "message"] and d["forms"][0]["button"] == "Send" and d["forms"][0]["action"] == "https://www.acme.io/send"
