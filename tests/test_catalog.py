@@ -45,7 +45,7 @@ def test_runs(spark, name):
 CUT = [(1, "https://a.io/x", "<html lang=\"en\"><head><title>Tools &amp; drills &amp</title></head><body><article><h1>Tools &amp; drills &amp</h1><p>One</p></article></body></html>")]
 
 
-@pytest.mark.parametrize("name", ["page_items", "page_evidence_counts", "page_headings", "page_metadata"])
+@pytest.mark.parametrize("name", ["page_items", "page_evidence_counts", "page_headings", "page_metadata", "page_title_lang"])
 def test_agrees_with_sql_on_cut_references(spark, tmp_path, name):
     spark.createDataFrame(CUT, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
